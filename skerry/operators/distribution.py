@@ -40,11 +40,13 @@ def _ranks(method: str, p: float, n: Column) -> list[Column]:
     raise ValueError(f"unknown quantile method {method!r}")
 
 
-def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
+def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on ``keys`` where null equals null; the keys appear once."""
+    renamed = right.withColumnsRenamed({key: f"_right_{key}" for key in keys})
     condition = F.lit(True)
     for key in keys:
-        condition = condition & left[key].eqNullSafe(right[key])
-    return condition
+        condition = condition & column(key).eqNullSafe(column(f"_right_{key}"))
+    return left.join(renamed, condition).drop(*[f"_right_{key}" for key in keys])
 
 
 def value_counts(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -126,11 +128,10 @@ def _ranked_by_slice(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.sum("_in_slice").over(group).alias("_n"),
         (F.sum("_total").over(group) / F.sum("_in_slice").over(group)).alias("_mean"),
     )
-    return hist.join(slices, _same(hist, slices, [*keys, "_s"])).select(
-        *[hist[k] for k in keys], "_v", "_c", "_n", "_mean",
-        (F.col("_below") + F.sum("_c").over(
-            Window.partitionBy(*[hist[k] for k in keys], hist["_s"]).orderBy("_v")
-        )).alias("_upto"),
+    within = Window.partitionBy(*keys, "_s").orderBy("_v")
+    return _join_null_safe(hist, slices, [*keys, "_s"]).select(
+        *[column(k) for k in keys], "_v", "_c", "_n", "_mean",
+        (F.col("_below") + F.sum("_c").over(within)).alias("_upto"),
     )
 
 
@@ -150,11 +151,11 @@ def box_stats(
     v, c = F.col("_v"), F.col("_c")
     inside = v.between(F.col("lower_fence"), F.col("upper_fence"))
     described = ["n", "mean", "std", "min", "q25", "median", "q75", "max"]
-    joined = counts.join(stats, _same(counts, stats, keys)) if keys else counts.withColumns({
+    joined = _join_null_safe(counts, stats, keys) if keys else counts.withColumns({
         name: stats.select(name).scalar()
         for name in [*described, "lower_fence", "upper_fence"]
     })
-    return joined.groupBy(*[counts[k] for k in keys]).agg(
+    return joined.groupBy(*keys).agg(
         *[F.max(name).alias(name) for name in described],
         F.min(F.when(inside, v)).alias("lower_whisker"),
         F.max(F.when(inside, v)).alias("upper_whisker"),

@@ -210,9 +210,9 @@ register("year_over_year",
          "species_code:s swedish_name:s year:i count:i prev_year_count:i absolute_change:i "
          "percent_change:f",
          lambda t: captures.year_over_year(t.captures), "captures", """
-        WITH y AS (SELECT species_code, swedish_name, year(date) AS year, count(*) AS count,
-                          row_number() OVER (PARTITION BY species_code ORDER BY year(date)) AS i
-                   FROM captures GROUP BY ALL)
+        WITH y AS (SELECT *, row_number() OVER (PARTITION BY species_code ORDER BY year) AS i
+                   FROM (SELECT species_code, swedish_name, year(date) AS year,
+                                count(*) AS count FROM captures GROUP BY ALL))
         SELECT a.species_code, a.swedish_name, a.year, a.count, b.count AS prev_year_count,
                a.count - b.count AS absolute_change,
                round(CAST(100 AS DOUBLE) * (a.count - b.count) / b.count, 2) AS percent_change

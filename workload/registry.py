@@ -27,6 +27,10 @@ class Query:
         return result.select(*[_spark(name, kind) for name, kind in self.columns])
 
 
+# Means of short decimals often end in a 5 right after the last digit shown, where the order of
+# summation would decide the rounding. Moving both sides by the same hair avoids that.
+NUDGE = 1e-9
+
 REGISTRY: dict[str, Query] = {}
 
 
@@ -34,7 +38,7 @@ def _spark(name: str, kind: str):
     value = column(name)
     if kind == "f":
         number = value.cast("double")
-        shown = F.round(F.when(~F.isnan(number), number), 4) + F.lit(0.0)
+        shown = F.round(F.when(~F.isnan(number), number) + F.lit(NUDGE), 4) + F.lit(0.0)
     elif kind == "i":
         shown = value.cast("bigint")
     elif kind == "d":
@@ -52,7 +56,7 @@ def _duckdb(name: str, kind: str) -> str:
     value = f'"{name}"'
     shown = {
         "f": f"round(CASE WHEN NOT isnan(CAST({value} AS DOUBLE)) "
-             f"THEN CAST({value} AS DOUBLE) END, 4) + 0.0",
+             f"THEN CAST({value} AS DOUBLE) END + {NUDGE}, 4) + 0.0",
         "i": f"CAST({value} AS BIGINT)",
         "d": f"CAST(CAST({value} AS DATE) AS VARCHAR)",
         "t": f"strftime({value}, '%Y-%m-%d %H:%M:%S')",
