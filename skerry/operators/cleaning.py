@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skerry.functions.cleaning import iso_date, number, trimmed
-from skerry.operators.joins import species_lookup
+from skerry.operators.joins import join_per_source, species_lookup
 from skerry.schemas import column
 
 MEASURES = (
@@ -27,7 +27,8 @@ def clean_strings(df: DataFrame, date_column: str = "date") -> DataFrame:
 
 
 def blank_sparse_columns(
-    df: DataFrame, columns: Sequence[str], source: str | None = None, threshold: float = 0.7
+    df: DataFrame, columns: Sequence[str], source: str | None = None, threshold: float = 0.7,
+    n_sources: int | None = None,
 ) -> DataFrame:
     """Null out a column wherever at least ``threshold`` of its rows are null, judged per
     ``source`` (say, the file a row came from) or over all rows.
@@ -39,11 +40,12 @@ def blank_sparse_columns(
         for c in columns
     ])
     if source:
-        flagged = df.join(ratios, source)
+        flagged = join_per_source(df, ratios, source, n_sources)
         keep = {c: F.col(f"_keep_{c}") for c in columns}
     else:
         flagged = df
-        keep = {c: ratios.select(f"_keep_{c}").scalar() for c in columns}
+        verdict = ratios.select(F.struct(*ratios.columns).alias("_keep")).scalar()
+        keep = {c: verdict[f"_keep_{c}"] for c in columns}
     return flagged.withColumns({c: F.when(keep[c], column(c)) for c in columns}).select(
         *[column(c) for c in df.columns])
 
@@ -66,7 +68,7 @@ def deduplicate(df: DataFrame) -> DataFrame:
 
 def collate_reports(
     raw: DataFrame, scheme: str, station: str, metadata: DataFrame | None = None,
-    source: str = "source_file",
+    source: str = "source_file", n_sources: int | None = None,
 ) -> DataFrame:
     """Raw report rows of many files (see ``sources.reports``) to one clean table.
 
@@ -74,7 +76,7 @@ def collate_reports(
     stations and rows without any value go, duplicates within and across files go, and species
     names are looked up."""
     data = [c for c in raw.columns if c != source]
-    kept = blank_sparse_columns(raw, data, source)
+    kept = blank_sparse_columns(raw, data, source, n_sources=n_sources)
     typed = kept.withColumns({
         "date": iso_date(column("date")),
         "time": number(column("time")),

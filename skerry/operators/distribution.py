@@ -40,23 +40,22 @@ def _ranks(method: str, p: float, n: Column) -> list[Column]:
     raise ValueError(f"unknown quantile method {method!r}")
 
 
-def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Inner join on ``keys`` where null equals null; the keys appear once."""
-    renamed = right.withColumnsRenamed({key: f"_right_{key}" for key in keys})
-    condition = F.lit(True)
-    for key in keys:
-        condition = condition & column(key).eqNullSafe(column(f"_right_{key}"))
-    return left.join(renamed, condition).drop(*[f"_right_{key}" for key in keys])
-
-
 def value_counts(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Non-null values per group with their counts: columns ``keys``, ``_v``, ``_c``."""
-    measured = df.select(*[column(k) for k in keys], column(value).cast("double").alias("_v"))
-    return measured.where(F.col("_v").isNotNull()).groupBy(*keys, "_v").agg(
+    """Non-null values per group with their counts: columns ``_g``, ``_v``, ``_c``.
+
+    ``_g`` holds the keys as one struct. A struct is never null and null fields compare equal, so
+    later steps join and partition by it without extra null handling or an extra shuffle."""
+    group = F.struct(*[column(k).alias(k) for k in keys], F.lit(0).alias("_all"))
+    measured = df.select(group.alias("_g"), column(value).cast("double").alias("_v"))
+    return measured.where(F.col("_v").isNotNull()).groupBy("_g", "_v").agg(
         F.count(F.lit(1)).alias("_c")
     )
 
 
+def _keys_of(keys: Sequence[str]) -> list[Column]:
+    return [F.col("_g").getField(k).alias(k) for k in keys]
+
+
 def distribution(
     df: DataFrame,
     value: str,
@@ -73,9 +72,17 @@ def distribution(
     ``bounded`` says that a group cannot have many distinct values (days of the year, one value
     per calendar day): its counts are then ranked in one go, without slices.
     """
-    keys = list(keys)
-    counts = value_counts(df, value, keys) if counts is None else counts
-    ranked = _ranked_whole(counts, keys) if bounded else _ranked_by_slice(counts, keys)
+    per_group = _group_stats(
+        value_counts(df, value, keys) if counts is None else counts, quantiles, method, bounded)
+    named = [name for name in per_group.columns if name != "_g"]
+    return per_group.select(*_keys_of(keys), *named)
+
+
+def _group_stats(
+    counts: DataFrame, quantiles: Mapping[str, object], method: str, bounded: bool
+) -> DataFrame:
+    """The statistics of :func:`distribution` per ``_g``."""
+    ranked = _ranked_whole(counts) if bounded else _ranked_by_slice(counts)
     n, v, c = F.col("_n"), F.col("_v"), F.col("_c")
 
     def at(rank: Column) -> Column:
@@ -92,7 +99,7 @@ def distribution(
             picks[name] = found[0] + (found[1] - found[0]) * share
     deviation = F.sum(c * (v - F.col("_mean")) * (v - F.col("_mean")))
     size = F.max("_n")
-    return ranked.groupBy(*keys).agg(
+    return ranked.groupBy("_g").agg(
         size.alias("n"),
         F.max("_mean").alias("mean"),
         F.when(size > 1, F.sqrt(deviation / (size - 1))).alias("std"),
@@ -102,35 +109,33 @@ def distribution(
     )
 
 
-def _ranked_whole(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _ranked_whole(counts: DataFrame) -> DataFrame:
     """Counts with ``_n``, ``_mean`` and ``_upto``, the rank of a value's last copy."""
-    group = Window.partitionBy(*keys)
+    group = Window.partitionBy("_g")
     total = F.sum("_c").over(group)
     return counts.select(
-        *[column(k) for k in keys], "_v", "_c", total.alias("_n"),
+        "_g", "_v", "_c", total.alias("_n"),
         (F.sum(F.col("_v") * F.col("_c")).over(group) / total).alias("_mean"),
         F.sum("_c").over(group.orderBy("_v")).alias("_upto"),
     )
 
 
-def _ranked_by_slice(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _ranked_by_slice(counts: DataFrame) -> DataFrame:
     """As :func:`_ranked_whole`, with a group's values shared out by slice."""
     hist = counts.withColumn("_s", _slice(F.col("_v")))
-
     # A group has a bounded number of slices, so a window over a group's slices stays small.
-    group = Window.partitionBy(*keys)
+    group = Window.partitionBy("_g")
     below = group.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    slices = hist.groupBy(*keys, "_s").agg(
+    size = F.sum("_in_slice").over(group)
+    slices = hist.groupBy("_g", "_s").agg(
         F.sum("_c").alias("_in_slice"), F.sum(F.col("_v") * F.col("_c")).alias("_total")
     ).select(
-        *[column(k) for k in keys], "_s",
-        F.coalesce(F.sum("_in_slice").over(below), F.lit(0)).alias("_below"),
-        F.sum("_in_slice").over(group).alias("_n"),
-        (F.sum("_total").over(group) / F.sum("_in_slice").over(group)).alias("_mean"),
+        "_g", "_s", F.coalesce(F.sum("_in_slice").over(below), F.lit(0)).alias("_below"),
+        size.alias("_n"), (F.sum("_total").over(group) / size).alias("_mean"),
     )
-    within = Window.partitionBy(*keys, "_s").orderBy("_v")
-    return _join_null_safe(hist, slices, [*keys, "_s"]).select(
-        *[column(k) for k in keys], "_v", "_c", "_n", "_mean",
+    within = Window.partitionBy("_g", "_s").orderBy("_v")
+    return hist.join(slices, ["_g", "_s"]).select(
+        "_g", "_v", "_c", "_n", "_mean",
         (F.col("_below") + F.sum("_c").over(within)).alias("_upto"),
     )
 
@@ -141,26 +146,19 @@ def box_stats(
 ) -> DataFrame:
     """What a box plot draws: quartiles (linear), the whiskers (outermost values within
     ``fence`` x IQR of the box) and how many rows lie beyond them."""
-    keys = list(keys)
     counts = value_counts(df, value, keys)
-    stats = distribution(df, value, keys, QUARTILES, "linear", bounded, counts)
+    stats = _group_stats(counts, QUARTILES, "linear", bounded)
     reach = (F.col("q75") - F.col("q25")) * fence
-    stats = stats.withColumns({
-        "lower_fence": F.col("q25") - reach, "upper_fence": F.col("q75") + reach,
-    })
-    v, c = F.col("_v"), F.col("_c")
-    inside = v.between(F.col("lower_fence"), F.col("upper_fence"))
-    described = ["n", "mean", "std", "min", "q25", "median", "q75", "max"]
-    joined = _join_null_safe(counts, stats, keys) if keys else counts.withColumns({
-        name: stats.select(name).scalar()
-        for name in [*described, "lower_fence", "upper_fence"]
-    })
-    return joined.groupBy(*keys).agg(
+    inside = F.col("_v").between(F.col("q25") - reach, F.col("q75") + reach)
+    described = [name for name in stats.columns if name != "_g"]
+    boxes = counts.join(stats, "_g").groupBy("_g").agg(
         *[F.max(name).alias(name) for name in described],
-        F.min(F.when(inside, v)).alias("lower_whisker"),
-        F.max(F.when(inside, v)).alias("upper_whisker"),
-        F.sum(F.when(inside, 0).otherwise(c)).alias("n_outliers"),
+        F.min(F.when(inside, F.col("_v"))).alias("lower_whisker"),
+        F.max(F.when(inside, F.col("_v"))).alias("upper_whisker"),
+        F.sum(F.when(inside, 0).otherwise(F.col("_c"))).alias("n_outliers"),
     )
+    return boxes.select(
+        *_keys_of(keys), *described, "lower_whisker", "upper_whisker", "n_outliers")
 
 
 def flag_outliers(
@@ -176,12 +174,14 @@ def flag_outliers(
     if method == "iqr":
         stats = distribution(df, value, (), {"q1": 0.25, "q3": 0.75}, "nearest")
         reach = (F.col("q3") - F.col("q1")) * threshold
-        low = stats.select((F.col("q1") - reach).alias("low")).scalar()
-        high = stats.select((F.col("q3") + reach).alias("high")).scalar()
-        return df.withColumn(name, (measured < low) | (measured > high))
+        bounds = stats.select(F.struct(
+            (F.col("q1") - reach).alias("low"), (F.col("q3") + reach).alias("high")
+        ).alias("bounds")).scalar()
+        return df.withColumn(name, (measured < bounds["low"]) | (measured > bounds["high"]))
     if method == "zscore":
-        mean = df.agg(F.avg(measured).alias("mean")).scalar()
-        spread = df.agg(F.stddev_samp(measured).alias("spread")).scalar()
-        distance = F.abs(measured - mean) / F.nullif(spread, F.lit(0.0))
+        usual = df.agg(F.struct(
+            F.avg(measured).alias("mean"), F.stddev_samp(measured).alias("spread")
+        ).alias("usual")).scalar()
+        distance = F.abs(measured - usual["mean"]) / F.nullif(usual["spread"], F.lit(0.0))
         return df.withColumn(name, distance > threshold)
     raise ValueError(f"unknown outlier method {method!r}")

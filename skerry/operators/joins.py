@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from skerry.schemas import column
 
+MAX_BROADCAST_SOURCES = 100_000
+
 GAP_FILLED = ("precipitation", "pressure", "visibility")
 
 
@@ -58,6 +60,24 @@ def keep_top(df: DataFrame, key: str, n: int) -> DataFrame:
     return df.join(top, key, "left_semi")
 
 
+def keep_top_groups(counts: DataFrame, key: str, n: int, count: str = "count") -> DataFrame:
+    """From counts per ``key`` and something else: the rows of the ``n`` keys with most in all.
+    Ranking the counts instead of the rows they came from saves a scan."""
+    top = counts.where(column(key).isNotNull()).groupBy(key).agg(
+        F.sum(count).alias("_all")).orderBy(F.desc("_all"), key).limit(n).select(key)
+    return counts.join(top, key)
+
+
+def join_per_source(
+    df: DataFrame, facts: DataFrame, source: str, n_sources: int | None = None
+) -> DataFrame:
+    """Attach facts about each source (a file, say) to its rows. With a known, small number of
+    sources the facts are broadcast; otherwise it is a shuffled join, in which adaptive execution
+    splits a source that holds very many rows."""
+    small = n_sources is not None and n_sources <= MAX_BROADCAST_SOURCES
+    return df.join(F.broadcast(facts) if small else facts, source)
+
+
 def share_of_total(
     df: DataFrame, count: str, within: Sequence[str], total: str, percent: str
 ) -> DataFrame:

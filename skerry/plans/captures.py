@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from skerry.functions.dates import DateLike, calendar_season, period_start
 from skerry.operators.distribution import distribution
 from skerry.operators.filters import between_dates, filled, select_captures
-from skerry.operators.joins import keep_top, top_by_count
+from skerry.operators.joins import keep_top_groups, top_by_count
 from skerry.schemas import column
 
 def rows() -> Column:
@@ -94,12 +94,14 @@ def recapture_analysis(df: DataFrame) -> DataFrame:
 def recapture_stats(df: DataFrame) -> DataFrame:
     """As :func:`recapture_analysis` by ring alone; the species is that of the first capture, and
     rows without a ring form one group like any other."""
-    first_species = F.min(F.struct("date", "species_code"))["species_code"]
-    return df.groupBy("ring_number").agg(
-        rows().alias("n_captures"),
-        F.min("date").alias("first_capture"),
-        F.max("date").alias("last_capture"),
-        first_species.alias("species_code"),
+    # A bird is of one species, so this hash aggregate does nearly all of the work.
+    by_species = df.groupBy("ring_number", "species_code").agg(
+        rows().alias("_n"), F.min("date").alias("_first"), F.max("date").alias("_last"))
+    return by_species.groupBy("ring_number").agg(
+        F.sum("_n").alias("n_captures"),
+        F.min("_first").alias("first_capture"),
+        F.max("_last").alias("last_capture"),
+        F.min(F.struct("_first", "species_code"))["species_code"].alias("species_code"),
     ).where(F.col("n_captures") > 1).withColumn(
         "days_between", F.datediff("last_capture", "first_capture")
     ).orderBy(F.desc("n_captures"), "ring_number")
@@ -120,8 +122,9 @@ def ringer_statistics(
 
 def ringer_activity(df: DataFrame, top_n: int = 10) -> DataFrame:
     """Captures per day of the most active ringers."""
-    return keep_top(df, "ringer", top_n).where(F.col("date").isNotNull()).groupBy(
-        "date", "ringer").agg(rows().alias("count"))
+    daily = df.groupBy("date", "ringer").agg(rows().alias("count"))
+    return keep_top_groups(daily, "ringer", top_n).where(F.col("date").isNotNull()).select(
+        "date", "ringer", "count")
 
 
 def year_over_year(df: DataFrame, species_codes: Sequence[str] | None = None) -> DataFrame:

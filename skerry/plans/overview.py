@@ -23,7 +23,13 @@ def species_summary(df: DataFrame) -> DataFrame:
     """Per species: captures, individuals, dates, mean measurements and the commonest age (the
     smallest of equally common ones)."""
     keys = ["species_code", "swedish_name", "scientific_name"]
-    return df.groupBy(*keys).agg(
+    # Ages are counted apart: one aggregate holding a map of ages for every ring would not fit a
+    # hash aggregate.
+    species = F.struct(*keys).alias("_species")
+    ages = df.where(F.col("age").isNotNull()).groupBy(species, "age").agg(rows().alias("_n"))
+    commonest = ages.groupBy("_species").agg(
+        F.min(F.struct((-F.col("_n")).alias("_rank"), "age"))["age"].alias("most_common_age"))
+    summary = df.groupBy(*keys).agg(
         rows().alias("total_records"),
         n_unique("ring_number").alias("unique_individuals"),
         F.min("date").alias("first_sighting"),
@@ -33,8 +39,8 @@ def species_summary(df: DataFrame) -> DataFrame:
         F.avg("wing_length").alias("mean_wing_length"),
         F.stddev_samp("wing_length").alias("std_wing_length"),
         F.avg("fat_score").alias("mean_fat_score"),
-        F.mode("age", True).alias("most_common_age"),
-    ).orderBy(F.desc("total_records"), *keys)
+    ).withColumn("_species", species)
+    return summary.join(commonest, "_species", "left").drop("_species").orderBy(F.desc("total_records"), *keys)
 
 
 def summary_stats(df: DataFrame) -> DataFrame:

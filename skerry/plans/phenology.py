@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from skerry.functions.dates import migration_season
 from skerry.operators.distribution import QUARTILES, distribution
 from skerry.operators.filters import select_captures
-from skerry.operators.joins import keep_top
+from skerry.operators.joins import keep_top_groups
 from skerry.plans.captures import add_time_features, rows
 from skerry.schemas import column
 
@@ -168,10 +168,9 @@ def species_week_matrix(weekly: DataFrame, weeks: Sequence[int] = range(1, 54))
 def species_trend(df: DataFrame, top_n: int = 10) -> DataFrame:
     """Weekly counts of the most frequent species over the number of years in all the data."""
     years = df.agg(F.count_distinct(F.year("date")).alias("years")).scalar()
-    weekly = keep_top(df, "swedish_name", top_n).groupBy(
-        F.weekofyear("date").alias("week"), "swedish_name"
-    ).agg(rows().alias("_rows"))
-    return weekly.select("week", "swedish_name", (F.col("_rows") / years).alias("count"))
+    weekly = df.groupBy(F.weekofyear("date").alias("week"), "swedish_name").agg(
+        rows().alias("_rows"))
+    return keep_top_groups(weekly, "swedish_name", top_n, "_rows").select("week", "swedish_name", (F.col("_rows") / years).alias("count"))
 
 
 def seasonality_histogram(

@@ -16,10 +16,10 @@ def replace_window(
 ) -> DataFrame:
     """Every target row between the batch's first and last timestamp goes, then the batch comes
     in. Rows inside the window that the batch does not mention go too; an empty batch changes
-    nothing. The bounds are scalar subqueries, so the target is only filtered."""
-    first = batch.agg(F.min(column(on)).alias("first")).scalar()
-    last = batch.agg(F.max(column(on)).alias("last")).scalar()
-    inside = F.coalesce(column(on).between(first, last), F.lit(False))
+    nothing. The bounds are a scalar subquery, so the target is only filtered."""
+    span = batch.agg(F.struct(
+        F.min(column(on)).alias("first"), F.max(column(on)).alias("last")).alias("span")).scalar()
+    inside = F.coalesce(column(on).between(span["first"], span["last"]), F.lit(False))
     return target.where(~inside).unionByName(batch, allowMissingColumns=True)
 
 

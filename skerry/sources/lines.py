@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skerry.operators.joins import join_per_source
+
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Columns ``source_file`` and ``value``. Files are split among tasks; ``value`` holds the
@@ -23,7 +25,9 @@ def _western() -> tuple[str, str]:
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
-def decode_lines(lines: DataFrame, source: str = "source_file") -> DataFrame:
+def decode_lines(
+    lines: DataFrame, source: str = "source_file", n_sources: int | None = None
+) -> DataFrame:
     """Decode each file as UTF-8, else windows-1252, else latin-1; a leading byte order mark goes.
 
     The choice is per file, as one bad byte changes how the whole file reads. Two flags per file
@@ -41,5 +45,5 @@ def decode_lines(lines: DataFrame, source: str = "source_file") -> DataFrame:
         .when(F.col("_odd"), latin)
         .otherwise(F.translate(latin, latin_text, western_text))
     )
-    return lines.join(verdict, source).select(
+    return join_per_source(lines, verdict, source, n_sources).select(
         source, F.regexp_replace(decoded, "^﻿", "").alias("value"))

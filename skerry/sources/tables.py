@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from skerry.functions.cleaning import EXPORT_NULLS, flag, nulled, offset_to_utc, trimmed, whole_number
 from skerry.operators.filters import matching
+from skerry.operators.joins import join_per_source
 from skerry.schemas import OBSERVATIONS, RING_RECORDS, column
 from skerry.sources.lines import decode_lines, read_lines
 
@@ -33,7 +34,7 @@ def read_captures_csv(
 
 def parse_export_lines(
     lines: DataFrame, schema: T.StructType = OBSERVATIONS, key: str = "OccurrenceId",
-    source: str = "source_file",
+    source: str = "source_file", n_sources: int | None = None,
 ) -> DataFrame:
     """Tab-separated lines to the columns of ``schema`` that the export names in its header.
 
@@ -46,7 +47,7 @@ def parse_export_lines(
     is_header = F.array_contains("_cells", key)
     # One short row per file: a header is a header, however often it occurs.
     headers = cells.where(is_header).groupBy(source).agg(F.max("_cells").alias("_names"))
-    body = cells.where(~is_header).join(headers, source)
+    body = join_per_source(cells.where(~is_header), headers, source, n_sources)
 
     def cell(name: str):
         position = F.array_position("_names", name).cast("int")
@@ -66,7 +67,9 @@ def parse_export_lines(
 
 def read_observation_export(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Observation export files in UTF-8, windows-1252 or latin-1."""
-    return parse_export_lines(decode_lines(read_lines(spark, path)))
+    lines = read_lines(spark, path)
+    n_files = len(lines.inputFiles())
+    return parse_export_lines(decode_lines(lines, n_sources=n_files), n_sources=n_files)
 
 
 def read_species_names(spark: SparkSession, path: str | list[str]) -> DataFrame:
