@@ -26,19 +26,24 @@ def clean_strings(df: DataFrame, date_column: str = "date") -> DataFrame:
     return df.withColumns(cleaned) if cleaned else df
 
 
+def sparseness(
+    df: DataFrame, columns: Sequence[str], source: str | None = None, threshold: float = 0.7
+) -> DataFrame:
+    """Per source, or once: ``_keep_<column>``, whether fewer than ``threshold`` of the rows are
+    null in it. An aggregate, never a window: one source may hold most rows."""
+    return df.groupBy(*([source] if source else [])).agg(*[
+        (F.count_if(column(c).isNull()) < F.count(F.lit(1)) * F.lit(threshold)).alias(f"_keep_{c}")
+        for c in columns
+    ])
+
+
 def blank_sparse_columns(
     df: DataFrame, columns: Sequence[str], source: str | None = None, threshold: float = 0.7,
     n_sources: int | None = None,
 ) -> DataFrame:
     """Null out a column wherever at least ``threshold`` of its rows are null, judged per
-    ``source`` (say, the file a row came from) or over all rows.
-
-    The ratio is an aggregate joined back, never a window: one source may hold most rows."""
-    keys = [source] if source else []
-    ratios = df.groupBy(*keys).agg(*[
-        (F.count_if(column(c).isNull()) < F.count(F.lit(1)) * F.lit(threshold)).alias(f"_keep_{c}")
-        for c in columns
-    ])
+    ``source`` (say, the file a row came from) or over all rows."""
+    ratios = sparseness(df, columns, source, threshold)
     if source:
         flagged = join_per_source(df, ratios, source, n_sources)
         keep = {c: F.col(f"_keep_{c}") for c in columns}
@@ -73,21 +78,17 @@ def collate_reports(
     """Raw report rows of many files (see ``sources.reports``) to one clean table.
 
     Sparse columns are blanked per file, text becomes dates and numbers, rows of other schemes or
-    stations and rows without any value go, duplicates within and across files go, and species
-    names are looked up."""
-    data = [c for c in raw.columns if c != source]
-    kept = blank_sparse_columns(raw, data, source, n_sources=n_sources)
-    typed = kept.withColumns({
-        "date": iso_date(column("date")),
-        "time": number(column("time")),
-        **{name: number(column(name)) for name in MEASURES},
-    })
-    selected = drop_empty_rows(typed, data).where(
-        (column("scheme") == scheme) & (column("station_name") == station)
-    )
-    order = ["date", "time"] + [
-        c for c in data
-        if c not in ("date", "time", "scheme", "station_code", "station_name")
-    ]
-    unique = deduplicate(selected.select(*[column(c) for c in order]))
+    stations go, duplicates within and across files go, and species names are looked up. Rows are
+    selected before anything is joined or parsed; only the sparseness is judged on all rows. A
+    row without any value has no scheme, so the selection drops it too."""
+    data = [c for c in raw.columns if c not in (source, "scheme", "station_code", "station_name")]
+    wanted = raw.where((column("scheme") == scheme) & (column("station_name") == station))
+    kept = join_per_source(
+        wanted, sparseness(raw, data, source), source, n_sources
+    ).select(*[F.when(F.col(f"_keep_{c}"), column(c)).alias(c) for c in data])
+    parsers = {"date": iso_date, **{name: number for name in ("time", *MEASURES)}}
+    order = ["date", "time"] + [c for c in data if c not in ("date", "time")]
+    typed = kept.select(*[
+        parsers.get(c, lambda value: value)(column(c)).alias(c) for c in order])
+    unique = deduplicate(typed)
     return species_lookup(unique, metadata) if metadata is not None else unique

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skerry.functions.cleaning import iso_date, number, whole_number
+
 WEATHER_MEASURES = [
     "temperature", "wind_direction", "wind_speed", "humidity", "precipitation",
     "pressure", "visibility", "cloud_cover", "gust_wind",
@@ -97,9 +99,15 @@ def enforce_schema(df: DataFrame, schema: T.StructType, drop_invalid: bool = Tru
     """Select exactly the declared columns in order, cast leniently (a bad value becomes null),
     add absent ones as typed nulls and drop rows lacking a required value."""
     full = add_missing(df, schema)
-    shaped = full.select(
-        *[column(f.name).try_cast(f.dataType).alias(f.name) for f in schema]
-    )
+    parsers = {T.DateType(): iso_date, T.DoubleType(): number, T.IntegerType(): whole_number}
+
+    def conform(field: T.StructField):
+        is_text = isinstance(full.schema[field.name].dataType, T.StringType)
+        parse = parsers.get(field.dataType) if is_text else None
+        value = parse(column(field.name)) if parse else column(field.name).try_cast(field.dataType)
+        return value.alias(field.name)
+
+    shaped = full.select(*[conform(field) for field in schema])
     required = [f.name for f in schema if not f.nullable]
     return shaped.dropna(subset=required) if drop_invalid and required else shaped
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skerry.operators.joins import join_per_source
@@ -14,6 +16,14 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.text(path).select(F.input_file_name().alias("source_file"), "value")
 
 
+def unfold(df: DataFrame, fields: Sequence[Column], keep: Sequence[str] = ()) -> DataFrame:
+    """Select ``keep`` and the parsed ``fields`` so that each is computed once per row.
+
+    The fields pass through a generator of exactly one row. Spark does not push a later filter on
+    a field below a generator, where it would split and parse the line again for every mention."""
+    return df.select(*keep, F.inline(F.array(F.struct(*fields))))
+
+
 def _western() -> tuple[str, str]:
     """The bytes where windows-1252 and latin-1 differ, as latin-1 and as windows-1252 text."""
     pairs = []

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skerry.functions.cleaning import REPORT_NULLS, nulled
-from skerry.sources.lines import read_lines
+from skerry.sources.lines import read_lines, unfold
 
 # What the first character of a line means. Everything else, the personal data of
 # ringers (H) included, is dropped.
@@ -45,13 +45,13 @@ def split_reports(spark: SparkSession, path: str | list[str], out: str) -> None:
 
 def parse_data_lines(lines: DataFrame) -> DataFrame:
     """The eighteen used fields of each data line as text; missing-value tokens become null."""
-    parts = F.split("value", r"\|")
+    kept = [c for c in lines.columns if c not in ("value", "route")]
+    parts = lines.select(*kept, F.split("value", r"\|").alias("_parts"))
 
     def field(position: int) -> Column:
-        return nulled(F.get(parts, F.lit(position)), REPORT_NULLS)
+        return nulled(F.get("_parts", F.lit(position)), REPORT_NULLS)
 
-    kept = [c for c in lines.columns if c not in ("value", "route")]
-    return lines.select(*kept, *[field(i).alias(name) for i, name in FIELDS.items()])
+    return unfold(parts, [field(i).alias(name) for i, name in FIELDS.items()], kept)
 
 
 def read_ring_records(spark: SparkSession, path: str | list[str]) -> DataFrame:

@@ -20,12 +20,13 @@ def parse_station_lines(lines: DataFrame, measure: str) -> DataFrame:
 
     A data line is one whose first two fields form a date and a time; that leaves out the
     preamble and the header without having to find them. A value that is no number is null."""
-    parts = F.split("value", ";")
-    quality = F.nullif(F.trim(F.get(parts, F.lit(3))), F.lit(""))
-    return lines.select(
-        clock_time(F.get(parts, F.lit(0)), F.get(parts, F.lit(1))).alias("observation_time"),
-        number(F.get(parts, F.lit(2))).alias(measure),
-        quality.alias(f"{measure}_quality"),
+    def field(position: int):
+        return F.get("_parts", F.lit(position))
+
+    return lines.select(F.split("value", ";").alias("_parts")).select(
+        clock_time(field(0), field(1)).alias("observation_time"),
+        number(field(2)).alias(measure),
+        F.nullif(F.trim(field(3)), F.lit("")).alias(f"{measure}_quality"),
     ).where(F.col("observation_time").isNotNull())
 
 

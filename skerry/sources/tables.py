@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skerry.functions.cleaning import EXPORT_NULLS, flag, nulled, offset_to_utc, trimmed, whole_number
+from skerry.functions.cleaning import (
+    EXPORT_NULLS, flag, nulled, number, offset_to_utc, trimmed, whole_number,
+)
 from skerry.operators.filters import matching
 from skerry.operators.joins import join_per_source
 from skerry.schemas import OBSERVATIONS, RING_RECORDS, column
@@ -41,28 +43,38 @@ def parse_export_lines(
     Every file brings its own header, recognised by the key column's name, so files may order
     their columns differently. Null tokens and values that do not fit become null, fields beyond
     the header are ignored, and offset timestamps become UTC."""
-    fields = F.split("value", "\t")
-    cells = lines.select(source, F.transform(fields, lambda x: F.regexp_replace(
-        x, r'^"(.*)"$', "$1")).alias("_cells"))
-    is_header = F.array_contains("_cells", key)
-    # One short row per file: a header is a header, however often it occurs.
-    headers = cells.where(is_header).groupBy(source).agg(F.max("_cells").alias("_names"))
-    body = join_per_source(cells.where(~is_header), headers, source, n_sources)
-
+    cells = F.split("value", "\t")
+    is_header = F.array_contains(cells, key)
+    # One row per file, saying at which position each declared column is found: a header is a
+    # header, however often it occurs.
+    headers = lines.where(is_header).groupBy(source).agg(F.max(cells).alias("_names")).select(
+        source, *[F.array_position("_names", f.name).cast("int").alias(f"_at_{f.name}")
+                  for f in schema])
+    body = join_per_source(
+        lines.where(~is_header).select(source, cells.alias("_cells")), headers, source, n_sources)
+
+    # Text first, types in a second step: a parser reads its value several times over.
     def cell(name: str):
-        position = F.array_position("_names", name).cast("int")
-        return F.when(position > 0, nulled(
-            F.get("_cells", position - 1), EXPORT_NULLS))
+        position = column(f"_at_{name}")
+        return F.when(position > 0, F.get("_cells", position - 1)).alias(name)
+
+    def unquoted(name: str):
+        quoted = column(name).startswith('"') & column(name).endswith('"')
+        bare = F.when(quoted, F.trim(column(name), F.lit('"'))).otherwise(column(name))
+        return nulled(bare, EXPORT_NULLS).alias(name)
+
+    text = body.select(*[cell(f.name) for f in schema]).select(
+        *[unquoted(f.name) for f in schema])
 
     typed = {
         "timestamp_ntz": offset_to_utc, "int": whole_number, "boolean": flag,
-        "double": lambda c: F.trim(c).try_cast("double"),
+        "double": number,
     }
     columns = []
     for field in schema:
         parse = typed.get(field.dataType.simpleString(), lambda c: c)
-        columns.append(parse(cell(field.name)).alias(field.name))
-    return body.select(*columns).where(column(key).isNotNull())
+        columns.append(parse(column(field.name)).alias(field.name))
+    return text.where(column(key).isNotNull()).select(*columns)
 
 
 def read_observation_export(spark: SparkSession, path: str | list[str]) -> DataFrame:
