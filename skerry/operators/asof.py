@@ -95,9 +95,11 @@ def asof_join(
     ).scalar()
     moment = left.withColumn("_at", epoch_micros(column(left_on)))
     keyed = moment.withColumn("_in", F.least(_bucket(F.col("_at"), bucket_seconds), end))
-    joined = keyed.join(
-        intervals,
-        (F.col("_in") == F.col("_bucket"))
+    # The intervals are already placed by bucket. A second key asks for a shuffle made for the join,
+    # without which adaptive execution would not split a hot bucket (see joins.skew_safe_join).
+    joined = keyed.withColumn("_left_slot", F.xxhash64("_in")).join(
+        intervals.withColumn("_slot", F.xxhash64("_bucket")),
+        (F.col("_left_slot") == F.col("_slot")) & (F.col("_in") == F.col("_bucket"))
         & (F.col("_at") >= F.col("_from")) & (F.col("_at") < F.col("_until")),
         how,
     )

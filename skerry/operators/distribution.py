@@ -15,6 +15,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skerry.operators.joins import skew_safe_join
 from skerry.schemas import column
 
 QUARTILES = {"q25": 0.25, "median": 0.5, "q75": 0.75}
@@ -151,7 +152,7 @@ def box_stats(
     reach = (F.col("q75") - F.col("q25")) * fence
     inside = F.col("_v").between(F.col("q25") - reach, F.col("q75") + reach)
     described = [name for name in stats.columns if name != "_g"]
-    boxes = counts.join(stats, "_g").groupBy("_g").agg(
+    boxes = skew_safe_join(counts, stats, ["_g"]).groupBy("_g").agg(
         *[F.max(name).alias(name) for name in described],
         F.min(F.when(inside, F.col("_v"))).alias("lower_whisker"),
         F.max(F.when(inside, F.col("_v"))).alias("upper_whisker"),

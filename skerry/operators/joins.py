@@ -68,6 +68,19 @@ def keep_top_groups(counts: DataFrame, key: str, n: int, count: str = "count") -
     return counts.join(top, key)
 
 
+def skew_safe_join(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner"
+) -> DataFrame:
+    """Join on ``keys`` in a way that lets adaptive execution split a hot key of ``left``.
+
+    It only splits where both sides come straight from a shuffle made for the join. A right side
+    aggregated or windowed by the same keys is already placed by them and would be joined as it
+    is. The extra key, a hash of the others, asks for that shuffle of the (small) right side."""
+    slot = F.xxhash64(*[column(k) for k in keys])
+    return left.withColumn("_slot", slot).join(
+        right.withColumn("_slot", slot), ["_slot", *keys], how).drop("_slot")
+
+
 def join_per_source(
     df: DataFrame, facts: DataFrame, source: str, n_sources: int | None = None
 ) -> DataFrame:
@@ -75,7 +88,7 @@ def join_per_source(
     sources the facts are broadcast; otherwise it is a shuffled join, in which adaptive execution
     splits a source that holds very many rows."""
     small = n_sources is not None and n_sources <= MAX_BROADCAST_SOURCES
-    return df.join(F.broadcast(facts) if small else facts, source)
+    return df.join(F.broadcast(facts), source) if small else skew_safe_join(df, facts, [source])
 
 
 def share_of_total(

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skerry.functions.dates import migration_season
+from skerry.functions.dates import DateLike, migration_season
 from skerry.operators.distribution import QUARTILES, distribution
 from skerry.operators.filters import select_captures
 from skerry.operators.joins import keep_top_groups
@@ -62,6 +62,15 @@ def phenology_weekly(
     return _counts_over_year(dated, "week_of_year", aggregate_years)
 
 
+def in_years_of(
+    report, df: DataFrame, species_codes: Sequence[str], start_date: DateLike,
+    end_date: DateLike, **options: object,
+) -> DataFrame:
+    """A report of this module for a selection of dates, of which only the years count."""
+    first, last = (int(str(day)[:4]) for day in (start_date, end_date))
+    return report(df, species_codes, first, last, **options)
+
+
 def phenology_by_species(
     df: DataFrame, species_codes: Sequence[str] | None = None, start_year: int | None = None,
     end_year: int | None = None,

@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from skerry.functions.dates import epoch_micros
 from skerry.operators.asof import asof_join
 from skerry.plans.weather import MATCHED, ringing_with_weather_in_force, weather_at_capture
 
@@ -118,3 +119,38 @@ def test_plan_shuffles_the_left_side_at_most_once(spark):
     above = [line.split(" ")[0].split("(")[0] for line in ancestors(plan, "event_id")]
     assert above.count("Exchange") == 1 and "Window" not in above
     assert not [name for name in above if "Aggregate" in name]
+
+
+def test_a_hot_bucket_is_split_between_tasks(spark):
+    """A third of the left rows share one minute; the final plan cuts their partition up."""
+    minute = F.when(F.col("id") % 3 == 0, 77).otherwise((F.col("id") * 7919) % 60000)
+    left = spark.range(0, 300_000, 1, 8).select(
+        "id", (F.lit(T0) + F.make_dt_interval(mins=minute.cast("int"))).alias("at"))
+    right = spark.range(0, 1000, 1, 2).select(
+        (F.lit(T0) + F.make_dt_interval(hours=F.col("id").cast("int"))).alias("seen"),
+        F.col("id").alias("value"))
+    left = left.withColumn("at", F.col("at").cast("timestamp_ntz"))
+    right = right.withColumn("seen", F.col("seen").cast("timestamp_ntz"))
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "200KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    }
+    usual = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        joined = asof_join(left, right, "at", "seen")
+        matched = joined.groupBy().count().withColumnRenamed("count", "n")
+        off = F.col("value") != F.floor(
+            (epoch_micros(F.col("at")) - epoch_micros(F.lit(T0).cast("timestamp_ntz"))) / 3.6e9)
+        assert joined.where(off).isEmpty()
+        rows = matched.collect()
+        plan = matched._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key, value in usual.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    assert rows[0].n == 300_000
+    assert "skew=true" in plan.replace("isSkew", "skew")

@@ -240,6 +240,25 @@ for rhythm, (unit, part) in _UNIT.items():
               FROM captures WHERE year(date) BETWEEN 1996 AND 2000 GROUP BY ALL)
         GROUP BY ALL""")
 
+_CHOSEN = f"species_code IN ({CODES_SQL}) AND year(date) BETWEEN 1997 AND 1999"
+register("ridgeline_selection",
+         "species_code:s swedish_name:s day_of_year:i total_count:i avg_count:f std_count:f "
+         "n_years:i",
+         lambda t: phenology.in_years_of(
+             phenology.phenology_daily, t.captures, CODES, "1997-06-15", "1999-02-01"),
+         "captures", f"""
+        SELECT species_code, swedish_name, doy AS day_of_year, sum(c) AS total_count,
+               avg(c) AS avg_count, stddev_samp(c) AS std_count, count(*) AS n_years
+        FROM (SELECT species_code, swedish_name, dayofyear(date) AS doy, count(*) AS c
+              FROM captures WHERE {_CHOSEN} GROUP BY species_code, swedish_name, doy, year(date)) GROUP BY ALL""")
+register("yearly_selection", "species_code:s swedish_name:s year:i week_of_year:i count:i",
+         lambda t: phenology.in_years_of(
+             phenology.phenology_weekly, t.captures, CODES, "1997-06-15", "1999-02-01",
+             aggregate_years=False), "captures", f"""
+        SELECT species_code, swedish_name, year(date) AS year,
+               weekofyear(date) AS week_of_year, count(*) AS count
+        FROM captures WHERE {_CHOSEN} GROUP BY ALL""")
+
 register("phenology_by_species",
          "species_code:s swedish_name:s year:i first_day_of_year:i q25_day_of_year:i "
          "median_day_of_year:i q75_day_of_year:i last_day_of_year:i n_observations:i",
