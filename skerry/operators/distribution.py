@@ -41,15 +41,20 @@ def _ranks(method: str, p: float, n: Column) -> list[Column]:
     raise ValueError(f"unknown quantile method {method!r}")
 
 
-def value_counts(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Non-null values per group with their counts: columns ``_g``, ``_v``, ``_c``.
+def value_counts(
+    df: DataFrame, value: str, keys: Sequence[str] = (), weight: str | None = None
+) -> DataFrame:
+    """Non-null values per group with their counts: columns ``_g``, ``_v``, ``_c``. A row counts
+    once, or ``weight`` times where rows are counts already.
 
     ``_g`` holds the keys as one struct. A struct is never null and null fields compare equal, so
     later steps join and partition by it without extra null handling or an extra shuffle."""
     group = F.struct(*[column(k).alias(k) for k in keys], F.lit(0).alias("_all"))
-    measured = df.select(group.alias("_g"), column(value).cast("double").alias("_v"))
+    times = column(weight) if weight else F.lit(1)
+    measured = df.select(
+        group.alias("_g"), column(value).cast("double").alias("_v"), times.alias("_times"))
     return measured.where(F.col("_v").isNotNull()).groupBy("_g", "_v").agg(
-        F.count(F.lit(1)).alias("_c")
+        F.sum("_times").cast("bigint").alias("_c")
     )
 
 
@@ -143,11 +148,11 @@ def _ranked_by_slice(counts: DataFrame) -> DataFrame:
 
 def box_stats(
     df: DataFrame, value: str, keys: Sequence[str] = (), fence: float = 1.5,
-    bounded: bool = False,
+    bounded: bool = False, weight: str | None = None,
 ) -> DataFrame:
     """What a box plot draws: quartiles (linear), the whiskers (outermost values within
     ``fence`` x IQR of the box) and how many rows lie beyond them."""
-    counts = value_counts(df, value, keys)
+    counts = value_counts(df, value, keys, weight)
     stats = _group_stats(counts, QUARTILES, "linear", bounded)
     reach = (F.col("q75") - F.col("q25")) * fence
     inside = F.col("_v").between(F.col("q25") - reach, F.col("q75") + reach)

@@ -15,7 +15,7 @@ from skerry.functions import bins
 from skerry.functions.dates import ringing_season
 from skerry.operators.distribution import box_stats
 from skerry.operators.filters import positive, valid_fat
-from skerry.operators.joins import keep_top
+from skerry.operators.joins import keep_top, keep_top_groups
 
 TREND_VARIABLES = (
     "mean_temperature", "mean_wind_speed", "total_precipitation", "mean_visibility",
@@ -145,14 +145,21 @@ def diversity_weather(diversity: DataFrame, summary: DataFrame) -> DataFrame:
     return diversity.join(summary, "date").withColumn("season", ringing_season(F.month("date")))
 
 
-def weight_by_wind(matched: DataFrame, top_n: int = 4) -> DataFrame:
+def weight_by_wind(
+    at_capture: DataFrame, top_n: int = 4, among: int = 6, max_gap_hours: float = 2
+) -> DataFrame:
     """Box statistics of weight per species and wind category, for the species with most such
-    captures."""
-    weighed = matched.where(positive("weight")).withColumn(
-        "wind_cat", bins.cut(F.col("wind_speed"), *bins.WIND)
-    ).where(F.col("wind_cat").isNotNull())
-    return box_stats(keep_top(weighed, "swedish_name", top_n), "weight",
-                     ["swedish_name", "wind_cat"])
+    captures ``among`` the most frequent ones.
+
+    Captures are counted per species, category and weight first; both rankings and the statistics
+    work on these counts, so that the weather is not matched again for each of them."""
+    counts = at_capture.where(F.col("weather_match_hours") <= max_gap_hours).groupBy(
+        "swedish_name", bins.cut(F.col("wind_speed"), *bins.WIND).alias("wind_cat"), "weight"
+    ).agg(F.count(F.lit(1)).alias("_n"))
+    frequent = keep_top_groups(counts, "swedish_name", among, "_n")
+    weighed = frequent.where(positive("weight") & F.col("wind_cat").isNotNull())
+    return box_stats(keep_top_groups(weighed, "swedish_name", top_n, "_n"), "weight",
+                     ["swedish_name", "wind_cat"], weight="_n")
 
 
 def days_with_captures(daily: DataFrame) -> DataFrame:

@@ -340,7 +340,7 @@ register("points_trend", "variable:s metric:s n:i slope:f intercept:f",
                regr_intercept(y, x) AS intercept
         FROM ({_POINTS_SQL}) GROUP BY ALL HAVING n > 10""")
 register("weight_by_wind", f"swedish_name:s wind_cat:s {BOX_COLUMNS}",
-         lambda t: correlation.weight_by_wind(_matched(t), 1), "captures_ev weather_a",
+         lambda t: correlation.weight_by_wind(_at_capture(t), 1, 2), "captures_ev weather_a",
          box_sql(f"""
         WITH g AS (SELECT *, {_cut_sql('wind_speed', *bins.WIND)} AS wind_cat
                    FROM ({_MATCHED_SQL}) WHERE weight > 0)
