@@ -16,8 +16,8 @@ from skerry.llm.components import components
 from skerry.llm.text import pieces, ragged, stored, text_slices, words
 from skerry.operators.joins import skew_safe_join
 
-#: Members of a key that are compared with each other in one go.
-BLOCK = 400
+#: Members of a key whose signatures are compared with each other in one go, and of a bundle of full sets.
+BLOCK, BUNDLE = 400, 200
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -88,7 +88,9 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, size: in
     that it shares a key with, then, again and again, every part of a component with the least
     component that it meets, until that links nothing more. What is left are keys whose members lie
     in different components: there all pairs of signatures across components are compared, block by
-    block, and those within `most` are confirmed. Pairs within a component cannot change it.
+    block. For the pairs within `most`, a class is sent once to each bundle of classes that it may be
+    linked with, and compared with the bundle's full sets there; a pair is never a row, and of the
+    links found one for each component is kept. Pairs within a component cannot change it.
 
     Without words or text: n_shingles 0, linked with nothing. Repeated rows are linked with each
     other and returned each; rows with a null doc_id take no part and are returned with a null component, kept;
@@ -183,8 +185,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, size: in
             break
         links = links.unionByName(new)
 
-    signed = classes.select("id", "signature")
-    rest = stored(confirmed(_across(placed, signed, size, most)), "confirmed")
+    rest = stored(_bundled(*_across(placed, pairs, classes, size, most), sets, percent), "confirmed")
     labels = components(links.unionByName(rest))
     of_class = classes.join(labels, "id", "left").select("print", F.coalesce("component", "id").alias("component_id"))
     named = skew_safe_join(rows.drop("signature"), of_class, ["print"], "left")
@@ -200,44 +201,95 @@ def _best(placed: DataFrame) -> DataFrame:
     return best.select(F.least("pair.x", "pair.y").alias("a"), F.greatest("pair.x", "pair.y").alias("b")).distinct()
 
 
-def _across(placed: DataFrame, signed: DataFrame, size: int, most: int) -> DataFrame:
-    """Pairs (a < b) of members of a key that lie in different components and differ in `most` components at most.
+def _across(placed: DataFrame, pairs: DataFrame, classes: DataFrame, size: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """The members of open keys in bundles (id, component, bundle), and which of them are to be
+    compared with which bundles (id, bundle): those with a larger id in another component that differ
+    in `most` components at most from one of the bundle.
+
+    A bundle has about BUNDLE of the classes that share the least id they meet. A key's members are
+    dealt into blocks; each pair of blocks is compared in one go."""
+    members = placed.select("id", "component").distinct()
+    rooted = skew_safe_join(members, pairs.select(F.col("b").alias("id"), F.col("a").alias("root")), ["id"], "left")
+    rooted = rooted.withColumn("root", F.coalesce("root", "id"))
+    many = rooted.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BUNDLE).cast("int").alias("parts"))
+    members = stored(skew_safe_join(rooted, many, ["root"]).select(
+        "id", "component", F.xxhash64("root", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("bundle")), "members")
 
-    A key's members are dealt into blocks; each pair of blocks is compared in one go."""
     counts = placed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    dealt = skew_safe_join(placed.select("key", "id", "component"), counts, ["key"])
+    dealt = skew_safe_join(placed.select("key", "id"), counts, ["key"])
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     dealt = dealt.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", "id", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    dealt = skew_safe_join(dealt, signed, ["id"])
-
-    def pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-
-        def run(frame: pd.DataFrame) -> pd.DataFrame:
-            found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for (_, i, j), own in frame.groupby(["key", "i", "j"], sort=False):
-                data = np.frombuffer(b"".join(own["signature"]), np.uint16).reshape(-1, size)
-                ids, component, side = own["id"].to_numpy(), own["component"].to_numpy(), own["block"].to_numpy()
-                for x in range(len(ids) - 1):
-                    rest = np.flatnonzero((component[x + 1:] != component[x]) & ((side[x + 1:] != side[x]) | (i == j))) + x + 1
-                    if len(rest):
-                        rest = rest[(data[rest] != data[x]).sum(axis=1) <= most]
-                        found_a.append(np.minimum(ids[rest], ids[x]))
-                        found_b.append(np.maximum(ids[rest], ids[x]))
-            out = pd.DataFrame({"a": np.concatenate(found_a), "b": np.concatenate(found_b)})
-            return out.drop_duplicates()
-
+    dealt = dealt.select("key", "id", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    dealt = skew_safe_join(dealt, members.join(classes.select("id", "signature"), "id"), ["id"])
+
+    def compare(own: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        own = own.sort_values("id")
+        data = np.frombuffer(b"".join(own["signature"]), np.uint16).reshape(-1, size)
+        ids, component, side, bundle = (own[c].to_numpy() for c in ("id", "component", "block", "bundle"))
+        within = own["i"].iloc[0] == own["j"].iloc[0]
+        for x in range(len(ids) - 1):
+            rest = np.flatnonzero((component[x + 1:] != component[x]) & ((side[x + 1:] != side[x]) | within)) + x + 1
+            if len(rest):
+                rest = rest[(data[rest] != data[x]).sum(axis=1) <= most]
+                if len(rest):
+                    yield pd.DataFrame({"id": ids[x], "bundle": np.unique(bundle[rest])})
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
         for frame in frames:  # sorted by key and blocks: the last group may go on in the next frame
-            held.append(frame)
-            whole = pd.concat(held)
+            whole = frame if held is None else pd.concat([held, frame])
             last = whole.iloc[-1]
-            open_rows = (whole["key"] == last["key"]) & (whole["i"] == last["i"]) & (whole["j"] == last["j"])
-            held = [whole[open_rows]]
-            if not open_rows.all():
-                yield run(whole[~open_rows])
-        if held:
-            yield run(held[0])
+            open_rows = ((whole["key"] == last["key"]) & (whole["i"] == last["i"]) & (whole["j"] == last["j"])).to_numpy()
+            held, whole = whole[open_rows], whole[~open_rows]
+            found = [f for _, own in whole.groupby(["key", "i", "j"], sort=False) for f in compare(own)]
+            if found:
+                yield pd.concat(found).drop_duplicates()
+        if held is not None:
+            yield from compare(held)
 
     dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.mapInPandas(pairs, "a long, b long").distinct()
+    return members, dealt.mapInPandas(run, "id long, bundle long").distinct()
+
+
+def _bundled(members: DataFrame, asked: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a < b) between the classes asked about and those of the bundles: of each class the
+    least one to each component.
+
+    The rows of a bundle come first, then, one after the other, those to compare with it; so a task
+    holds one bundle, however many ask."""
+    asked = stored(asked, "asked")
+    full = sets.select("id", "set")
+    known = members.join(asked.select("bundle").distinct(), "bundle", "left_semi").select("bundle", F.lit(0).alias("role"), "id", "component")
+    asking = skew_safe_join(asked, members.select("id", "component"), ["id"]).select("bundle", F.lit(1).alias("role"), "id", "component")
+    rows = skew_safe_join(known.unionByName(asking), full, ["id"]).select("bundle", "role", "id", "component", "set")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, ready = None, [], None
+        for batch in batches:
+            out = []
+            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("bundle", "role", "id", "component")]
+            for bundle, role, own, component, data in zip(*columns, batch.column("set"), strict=True):
+                found = np.frombuffer(data.as_buffer(), np.uint64)
+                if bundle != now:
+                    now, held, ready = bundle, [], None
+                if role == 0:
+                    held.append((own, component, found))
+                    continue
+                if ready is None and held:
+                    lengths = np.array([len(h[2]) for h in held])
+                    flat = np.concatenate([h[2] for h in held])
+                    order = np.argsort(flat, kind="stable")
+                    ready = (np.array([h[0] for h in held]), np.array([h[1] for h in held]), lengths,
+                             flat[order], np.repeat(np.arange(len(held)), lengths)[order])
+                if ready is None:
+                    continue
+                ids, components_of, lengths, flat, owners = ready
+                first, last = np.searchsorted(flat, found, "left"), np.searchsorted(flat, found, "right")
+                both = np.bincount(owners[ragged(first, last - first)], minlength=len(ids))
+                alike = (100 * both >= percent * (len(found) + lengths - both)) & (components_of != component) & (ids > own)
+                if alike.any():
+                    nearest = pd.Series(ids[alike]).groupby(components_of[alike]).min()
+                    out.extend((own, b) for b in nearest)
+            yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    return rows.repartition("bundle").sortWithinPartitions("bundle", "role").mapInArrow(run, "a long, b long")
