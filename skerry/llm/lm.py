@@ -11,11 +11,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skerry.llm.text import ragged, stored, text_slices, words
-from skerry.operators.joins import skew_safe_join
 
 #: Words of a training sequence: longer texts are trained on in parts of this length, all of them.
 PART = 512
@@ -99,6 +98,15 @@ def expected_counts(model: Hmm, symbols: np.ndarray, starts: np.ndarray, lengths
     return start, move * model.move, emit
 
 
+def to_planes(codes: np.ndarray) -> bytes:
+    """32-bit integers as four runs of bytes; with frequent words first, the high ones compress to little."""
+    return codes.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
 def coded(docs: DataFrame, held_out: Column) -> DataFrame:
     """A row for each slice of the texts: ids, held_out, lengths and word codes of its documents, its
     distinct words and their counts in documents that are not held out. Written to the shared folder."""
@@ -110,11 +118,15 @@ def coded(docs: DataFrame, held_out: Column) -> DataFrame:
                 codes, offsets, known = words(rows.column("text"))
                 held = np.asarray(rows.column("held_out"), dtype=bool)
                 lengths = np.diff(offsets)
+                frequent = np.argsort(-np.bincount(codes, minlength=len(known)), kind="stable")
+                place = np.empty(len(known), dtype=np.int64)
+                place[frequent] = np.arange(len(known))
+                codes, known = place[codes], known.take(pa.array(frequent))
                 counts = np.bincount(codes[np.repeat(~held, lengths)], minlength=len(known))
                 yield pa.RecordBatch.from_pydict({
                     "slice": pa.array([number], pa.int64()), "doc_ids": pa.array([rows.column("doc_id").to_pylist()], pa.list_(pa.int64())),
                     "held": pa.array([held.tolist()], pa.list_(pa.bool_())), "lengths": pa.array([lengths.tolist()], pa.list_(pa.int64())),
-                    "codes": pa.array([codes.astype("<i4").tobytes()], pa.binary()),
+                    "codes": pa.array([to_planes(codes)], pa.binary()),
                     "words": pa.array([known], pa.list_(pa.string())), "counts": pa.array([counts], pa.list_(pa.int64()))})
                 number += 1
 
@@ -124,11 +136,12 @@ def coded(docs: DataFrame, held_out: Column) -> DataFrame:
                                          "codes binary, words array<string>, counts array<long>"), "coded")
 
 
-def symbols_of(row: dict, symbols: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols of a coded row's documents with their ends, where each begins, how long it is; symbols of its words."""
-    table = np.fromiter((zlib.crc32(w.encode()) % symbols for w in row["words"].as_py()), dtype=np.int64)
+def symbols_of(row: dict, symbols: int, table: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols of a coded row's documents with their ends, where each begins, how long it is; symbols of its words (`table`)."""
+    if table is None:
+        table = np.fromiter((zlib.crc32(w.encode()) % symbols for w in row["words"].as_py()), dtype=np.int64)
     lengths = row["lengths"].values.to_numpy(zero_copy_only=False).astype(np.int64)
-    flat = table[np.frombuffer(row["codes"].as_py(), "<i4")] if len(table) else np.zeros(0, np.int64)
+    flat = table[from_planes(row["codes"].as_py())] if len(table) else np.zeros(0, np.int64)
     flat = np.insert(flat, np.cumsum(lengths), symbols)
     return flat, np.cumsum(lengths + 1) - lengths - 1, lengths + 1, table
 
@@ -153,8 +166,8 @@ def baum_welch(slices: DataFrame, model: Hmm, symbols: int) -> tuple[np.ndarray,
                 parts = -(-lengths // PART)
                 at = ragged(np.zeros(len(parts), np.int64), parts) * PART
                 starts, lengths = np.repeat(starts, parts) + at, np.minimum(np.repeat(lengths, parts) - at, PART)
-                for low in range(0, len(starts), 4000):
-                    some = slice(low, low + 4000)
+                for low in range(0, len(starts), 1000):
+                    some = slice(low, low + 1000)
                     found = expected_counts(shared.value, flat, starts[some], lengths[some], (at[some] > 0).astype(np.int64))
                     sums = list(found) if sums is None else [a + b for a, b in zip(sums, found, strict=True)]
         if sums is not None:
@@ -184,8 +197,13 @@ def score_texts(docs: DataFrame, held_out: Column, states: int = 8, symbols: int
     slices = coded(docs, held_out)
     entries = slices.select("slice", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "entry")).select(
         "slice", "place", F.col("entry.words").alias("word"), F.col("entry.counts").alias("n"))
-    counts = entries.groupBy("word").agg(F.sum("n").alias("c"))
-    classes = (counts.where("c > 0").groupBy((F.crc32(F.col("word").cast("binary")) % symbols).cast("int").alias("symbol"))
+    # A word has a row in each slice that it occurs in, so it meets in one task with as many rows as there are slices.
+    of_word = Window.partitionBy("word")
+    entries = stored(entries.select(
+        "slice", "place", F.sum("n").over(of_word).alias("c"),
+        (F.min(F.struct("slice", "place")).over(of_word) == F.struct("slice", "place")).alias("first"),
+        (F.crc32(F.col("word").cast("binary")) % symbols).cast("int").alias("symbol")), "counts")
+    classes = (entries.where("first AND c > 0").groupBy("symbol")
                .agg(F.sum("c").alias("tokens"), F.count(F.lit(1)).alias("words")).collect())  # at most `symbols` rows
     ends = slices.agg(F.coalesce(F.sum(F.expr("size(filter(held, x -> NOT x))")), F.lit(0))).first()[0]
     tokens, distinct = np.zeros(symbols + 1), np.zeros(symbols + 1)
@@ -199,10 +217,8 @@ def score_texts(docs: DataFrame, held_out: Column, states: int = 8, symbols: int
     for _ in range(rounds if all_tokens else 0):
         model = model.refit(*baum_welch(slices, model, symbols), prior, weight)
 
-    # Each slice's words get their counts by a join, and are put together by slice again.
-    counted = skew_safe_join(entries.select("slice", "place", "word"), counts, ["word"])
-    tables = counted.groupBy("slice").agg(F.sort_array(F.collect_list(F.struct("place", "c"))).alias("pairs")).select(
-        "slice", F.col("pairs.c").alias("c"))
+    tables = entries.groupBy("slice").agg(F.sort_array(F.collect_list(F.struct("place", "c", "symbol"))).alias("pairs")).select(
+        "slice", F.col("pairs.c").alias("c"), F.col("pairs.symbol").alias("symbols"))
     shared = spark.sparkContext.broadcast((model, np.log10(room)))
     bottom = np.log10(all_tokens + vocabulary + 1)
 
@@ -211,9 +227,10 @@ def score_texts(docs: DataFrame, held_out: Column, states: int = 8, symbols: int
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {name: batch.column(name)[i] for name in batch.schema.names}
-                flat, starts, lengths, table = symbols_of(row, symbols)
-                c = row["c"].values.to_numpy(zero_copy_only=False).astype(np.float64) if row["c"].is_valid else np.zeros(0)
-                codes = np.frombuffer(row["codes"].as_py(), "<i4")
+                numbers = lambda name, row=row: row[name].values.to_numpy(zero_copy_only=False) if row[name].is_valid else np.zeros(0, np.int64)
+                c = numbers("c").astype(np.float64)
+                flat, starts, lengths, table = symbols_of(row, symbols, numbers("symbols").astype(np.int64))
+                codes = from_planes(row["codes"].as_py())
                 doc = np.repeat(np.arange(len(lengths)), lengths - 1)
                 add = lambda of_word, doc=doc, codes=codes, n=len(lengths): np.bincount(doc, weights=of_word[codes], minlength=n)
                 one = np.log10(c + 1)
@@ -226,5 +243,5 @@ def score_texts(docs: DataFrame, held_out: Column, states: int = 8, symbols: int
                     "n_known": pa.array(known.round().astype(np.int64)), "train_tokens": pa.array(np.full(size, all_tokens), pa.int64()),
                     "base_score": pa.array(base, pa.float64()), "score": pa.array(score, pa.float64())})
 
-    return slices.select("slice", "doc_ids", "held", "lengths", "codes", "words").join(tables, "slice", "left").mapInArrow(
+    return slices.select("slice", "doc_ids", "held", "lengths", "codes").join(tables, "slice", "left").mapInArrow(
         run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
