@@ -17,7 +17,7 @@ from skerry.llm.text import pieces, ragged, stored, text_slices, words
 from skerry.operators.joins import skew_safe_join
 
 #: Members of a key whose signatures are compared with each other in one go, and of a bundle of full sets.
-BLOCK, BUNDLE = 400, 200
+BLOCK, BUNDLE = 1000, 200
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -203,36 +203,36 @@ def _best(placed: DataFrame) -> DataFrame:
 
 def _across(placed: DataFrame, pairs: DataFrame, classes: DataFrame, size: int, most: int) -> tuple[DataFrame, DataFrame]:
     """The members of open keys in bundles (id, component, bundle), and which of them are to be
-    compared with which bundles (id, bundle): those with a larger id in another component that differ
-    in `most` components at most from one of the bundle.
+    compared with which bundles (id, bundle): all bundles of a root of which a class with a larger id,
+    in another component, differs in `most` components at most.
 
-    A bundle has about BUNDLE of the classes that share the least id they meet. A key's members are
+    A root is the least id that classes meet; a bundle has about BUNDLE of those that share it. A key's members are
     dealt into blocks; each pair of blocks is compared in one go."""
     members = placed.select("id", "component").distinct()
     rooted = skew_safe_join(members, pairs.select(F.col("b").alias("id"), F.col("a").alias("root")), ["id"], "left")
     rooted = rooted.withColumn("root", F.coalesce("root", "id"))
     many = rooted.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BUNDLE).cast("int").alias("parts"))
     members = stored(skew_safe_join(rooted, many, ["root"]).select(
-        "id", "component", F.xxhash64("root", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("bundle")), "members")
+        "id", "component", "root", F.xxhash64("root", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("bundle")), "members")
 
     counts = placed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     dealt = skew_safe_join(placed.select("key", "id"), counts, ["key"])
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     dealt = dealt.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("key", "id", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    dealt = skew_safe_join(dealt, members.join(classes.select("id", "signature"), "id"), ["id"])
+    dealt = skew_safe_join(dealt, members.drop("bundle").join(classes.select("id", "signature"), "id"), ["id"])
 
     def compare(own: pd.DataFrame) -> Iterator[pd.DataFrame]:
         own = own.sort_values("id")
         data = np.frombuffer(b"".join(own["signature"]), np.uint16).reshape(-1, size)
-        ids, component, side, bundle = (own[c].to_numpy() for c in ("id", "component", "block", "bundle"))
+        ids, component, side, root = (own[c].to_numpy() for c in ("id", "component", "block", "root"))
         within = own["i"].iloc[0] == own["j"].iloc[0]
         for x in range(len(ids) - 1):
             rest = np.flatnonzero((component[x + 1:] != component[x]) & ((side[x + 1:] != side[x]) | within)) + x + 1
             if len(rest):
                 rest = rest[(data[rest] != data[x]).sum(axis=1) <= most]
                 if len(rest):
-                    yield pd.DataFrame({"id": ids[x], "bundle": np.unique(bundle[rest])})
+                    yield pd.DataFrame({"id": ids[x], "root": np.unique(root[rest])})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -248,7 +248,8 @@ def _across(placed: DataFrame, pairs: DataFrame, classes: DataFrame, size: int,
             yield from compare(held)
 
     dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return members, dealt.mapInPandas(run, "id long, bundle long").distinct()
+    near = dealt.mapInPandas(run, "id long, root long").distinct()
+    return members, skew_safe_join(near, members.select("root", "bundle").distinct(), ["root"]).select("id", "bundle")
 
 
 def _bundled(members: DataFrame, asked: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
