@@ -39,13 +39,12 @@ def sparseness(
 
 def blank_sparse_columns(
     df: DataFrame, columns: Sequence[str], source: str | None = None, threshold: float = 0.7,
-    n_sources: int | None = None,
 ) -> DataFrame:
     """Null out a column wherever at least ``threshold`` of its rows are null, judged per
     ``source`` (say, the file a row came from) or over all rows."""
     ratios = sparseness(df, columns, source, threshold)
     if source:
-        flagged = join_per_source(df, ratios, source, n_sources)
+        flagged = join_per_source(df, ratios, source)
         keep = {c: F.col(f"_keep_{c}") for c in columns}
     else:
         flagged = df
@@ -73,7 +72,7 @@ def deduplicate(df: DataFrame) -> DataFrame:
 
 def collate_reports(
     raw: DataFrame, scheme: str, station: str, metadata: DataFrame | None = None,
-    source: str = "source_file", n_sources: int | None = None,
+    source: str = "source_file",
 ) -> DataFrame:
     """Raw report rows of many files (see ``sources.reports``) to one clean table.
 
@@ -84,7 +83,7 @@ def collate_reports(
     data = [c for c in raw.columns if c not in (source, "scheme", "station_code", "station_name")]
     wanted = raw.where((column("scheme") == scheme) & (column("station_name") == station))
     kept = join_per_source(
-        wanted, sparseness(raw, data, source), source, n_sources
+        wanted, sparseness(raw, data, source), source
     ).select(*[F.when(F.col(f"_keep_{c}"), column(c)).alias(c) for c in data])
     parsers = {"date": iso_date, **{name: number for name in ("time", *MEASURES)}}
     order = ["date", "time"] + [c for c in data if c not in ("date", "time")]

@@ -26,7 +26,8 @@ _SLICES_PER_DOUBLING = 64
 def _slice(value: Column) -> Column:
     """A whole number that never decreases as ``value`` grows."""
     steps = F.log1p(F.abs(value)) * (_SLICES_PER_DOUBLING / 0.6931471805599453)
-    return F.floor(F.signum(value) * steps)
+    # NaN ranks above all numbers, and so does its slice.
+    return F.when(F.isnan(value.cast("double")), F.lit(1 << 40)).otherwise(F.floor(F.signum(value) * steps))
 
 
 def _ranks(method: str, p: float, n: Column) -> list[Column]:

@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from skerry.schemas import column
 
-MAX_BROADCAST_SOURCES = 100_000
-
 GAP_FILLED = ("precipitation", "pressure", "visibility")
 
 
@@ -82,13 +80,11 @@ def skew_safe_join(
 
 
 def join_per_source(
-    df: DataFrame, facts: DataFrame, source: str, n_sources: int | None = None
+    df: DataFrame, facts: DataFrame, source: str, how: str = "inner"
 ) -> DataFrame:
-    """Attach facts about each source (a file, say) to its rows. With a known, small number of
-    sources the facts are broadcast; otherwise it is a shuffled join, in which adaptive execution
-    splits a source that holds very many rows."""
-    small = n_sources is not None and n_sources <= MAX_BROADCAST_SOURCES
-    return df.join(F.broadcast(facts), source) if small else skew_safe_join(df, facts, [source])
+    """Attach facts about each source (a file, say) to its rows. Spark broadcasts the facts when
+    their size allows; otherwise adaptive execution splits a source that holds very many rows."""
+    return skew_safe_join(df, facts, [source], how)
 
 
 def share_of_total(

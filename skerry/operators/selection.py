@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from skerry.functions.dates import DateLike, as_date
 from skerry.schemas import column
+from skerry.session import checkpointed
 
 # Centre of the station (WGS84), radius, default provider, rows per export window.
 STATION_LONGITUDE, STATION_LATITUDE = 11.90056, 57.30250
@@ -53,16 +54,17 @@ def of_taxa(df: DataFrame, taxa: DataFrame, on: str = "DyntaxaTaxonId") -> DataF
 
 
 def descendants(
-    taxonomy: DataFrame, root: int, levels: int = 12, taxon: str = "taxon_id",
-    parent: str = "parent_id",
+    taxonomy: DataFrame, root: int, taxon: str = "taxon_id", parent: str = "parent_id",
 ) -> DataFrame:
     """The root taxon and everything below it, from a child-to-parent table.
 
-    Every pass lifts each taxon to its parent's parent, so ``levels`` may be a generous bound on
-    the depth: 2 ** passes levels are covered."""
+    Every pass lifts each taxon to its parent's parent, so n passes cover 2 ** n levels; they end
+    when one finds nothing new, at any depth and also where parents form a circle."""
     up = taxonomy.select(column(taxon).alias("_taxon"), column(parent).alias("_up"),
                          (column(parent) == root).alias("_hit"))
-    for _ in range(max(1, math.ceil(math.log2(levels)))):
+    known = -1
+    while (hits := up.where("_hit").count()) > known:
+        known = hits
         above = up.select(F.col("_taxon").alias("_via"), F.col("_up").alias("_next"),
                           F.col("_hit").alias("_above"))
         up = up.join(above, F.col("_up") == F.col("_via"), "left").select(
@@ -70,6 +72,7 @@ def descendants(
             (F.coalesce(F.col("_hit"), F.lit(False))
              | F.coalesce(F.col("_above"), F.lit(False))).alias("_hit"),
         )
+        up = checkpointed(up)
     found = up.where(F.col("_hit") | (F.col("_taxon") == root)).select("_taxon")
     return found.distinct().toDF(taxon)
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 # Settings a query may rely on. All can be set at run time on a session somebody else built.
@@ -40,17 +38,15 @@ def configure(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder for checkpoints and staged tables.
 
-    It is the one the cluster names in ``spark.checkpoint.dir``. Where that is unset a temporary
-    folder is made, but only for a local master: on a cluster executors could not see it.
+    It is the one the context has already, else the one named in ``spark.checkpoint.dir``, else,
+    for a local master, a folder beside the warehouse.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="skerry-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/../checkpoints"
 
 
 def checkpointed(df):

@@ -42,8 +42,12 @@ def swap_table(df: DataFrame, table: str) -> None:
     staged = f"{table}__next"
     spark.sql(f"DROP TABLE IF EXISTS {staged}")
     df.write.saveAsTable(staged)
-    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    before = f"{table}__before"
+    spark.sql(f"DROP TABLE IF EXISTS {before}")
+    if spark.catalog.tableExists(table):
+        spark.sql(f"ALTER TABLE {table} RENAME TO {before}")
     spark.sql(f"ALTER TABLE {staged} RENAME TO {table}")
+    spark.sql(f"DROP TABLE IF EXISTS {before}")
 
 
 def replace_partitions(df: DataFrame, path: str, partition_by: Sequence[str]) -> None:

@@ -36,7 +36,7 @@ def _western() -> tuple[str, str]:
 
 
 def decode_lines(
-    lines: DataFrame, source: str = "source_file", n_sources: int | None = None
+    lines: DataFrame, source: str = "source_file"
 ) -> DataFrame:
     """Decode each file as UTF-8, else windows-1252, else latin-1; a leading byte order mark goes.
 
@@ -55,5 +55,5 @@ def decode_lines(
         .when(F.col("_odd"), latin)
         .otherwise(F.translate(latin, latin_text, western_text))
     )
-    return join_per_source(lines, verdict, source, n_sources).select(
+    return join_per_source(lines, verdict, source).select(
         source, F.regexp_replace(decoded, "^﻿", "").alias("value"))

@@ -36,7 +36,7 @@ def read_captures_csv(
 
 def parse_export_lines(
     lines: DataFrame, schema: T.StructType = OBSERVATIONS, key: str = "OccurrenceId",
-    source: str = "source_file", n_sources: int | None = None,
+    source: str = "source_file",
 ) -> DataFrame:
     """Tab-separated lines to the columns of ``schema`` that the export names in its header.
 
@@ -49,10 +49,13 @@ def parse_export_lines(
     # One row per file, saying at which position each declared column is found: a header is a
     # header, however often it occurs.
     headers = lines.where(is_header).groupBy(source).agg(F.max(cells).alias("_names")).select(
-        source, *[F.array_position("_names", f.name).cast("int").alias(f"_at_{f.name}")
+        source, F.lit(True).alias("_known"), *[F.array_position("_names", f.name).cast("int").alias(f"_at_{f.name}")
                   for f in schema])
     body = join_per_source(
-        lines.where(~is_header).select(source, cells.alias("_cells")), headers, source, n_sources)
+        lines.where(~is_header).select(source, cells.alias("_cells")), headers, source, "left")
+    # A file without a header would otherwise come out empty.
+    unknown = F.raise_error(F.concat(F.lit("no header line in "), F.col(source))).cast("boolean")
+    body = body.where(F.coalesce("_known", unknown))
 
     # Text first, types in a second step: a parser reads its value several times over.
     def cell(name: str):
@@ -81,8 +84,7 @@ def parse_export_lines(
 def read_observation_export(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Observation export files in UTF-8, windows-1252 or latin-1."""
     lines = read_lines(spark, path)
-    n_files = len(lines.inputFiles())
-    return parse_export_lines(decode_lines(lines, n_sources=n_files), n_sources=n_files)
+    return parse_export_lines(decode_lines(lines))
 
 
 def read_species_names(spark: SparkSession, path: str | list[str]) -> DataFrame:
