@@ -16,6 +16,22 @@ from skerry.llm.text import pieces, text_slices
 from skerry.llm.tokens import PartEncoder, read_ranks
 
 
+#: Bytes of matches whose merges are replayed together, and pairs remembered from one replay to the next.
+REPLAY_BYTES, PAIRS = 1 << 18, 200_000
+
+
+def blocks(matches: list[bytes]) -> Iterator[list[bytes]]:
+    """The matches in order, in lists of about REPLAY_BYTES, one match at least."""
+    start = size = 0
+    for i, match in enumerate(matches):
+        size += len(match)
+        if size >= REPLAY_BYTES:
+            yield matches[start:i + 1]
+            start, size = i + 1, 0
+    if start < len(matches):
+        yield matches[start:]
+
+
 class MergeReplay:
     """Encodes many matches of the pattern at once.
 
@@ -51,6 +67,12 @@ class MergeReplay:
         return tokens
 
     def encode(self, matches: list[bytes]) -> list[list[int]]:
+        """The ids of each match."""
+        return [ids for block in blocks(matches) for ids in self._replay(block)]
+
+    def _replay(self, matches: list[bytes]) -> list[list[int]]:
+        if len(self.merged) > PAIRS:
+            self.merged.clear()
         out: list[list[int]] = [[]] * len(matches)
         where = []
         for i, match in enumerate(matches):
