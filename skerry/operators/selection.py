@@ -104,19 +104,24 @@ def count_per_period(df: DataFrame, period: Column, on: str = "StartDate") -> Da
 
 def adaptive_windows(
     df: DataFrame, on: str = "StartDate", limit: int = WINDOW_LIMIT, chunk_years: int = 10,
-    first_year: int = WINDOW_FIRST_YEAR,
+    first_year: int = WINDOW_FIRST_YEAR, last_year: int | None = None,
 ) -> DataFrame:
     """One row per day that has data, labelled with the window it belongs to.
 
     A window is the widest of chunk of years, year, month and day holding at most ``limit`` rows;
     a day is never split. Counting per day comes first, so the windows over chunks only ever see
-    calendar days. Rows before ``first_year`` are outside every window."""
-    day = column(on).cast("date")
-    daily = df.where(F.year(day) >= first_year).groupBy(day.alias("day")).agg(
-        F.count(F.lit(1)).alias("day_rows"))
-    chunk = F.year("day") - F.pmod(F.year("day") - first_year, F.lit(chunk_years))
+    calendar days. Chunks are counted from ``first_year``, before it as well as after, and cut at
+    the end of ``last_year``. Rows without a date share the window ``undated``, which has no day."""
+    day, year = column(on).cast("date"), F.year("day")
+    daily = df.groupBy(day.alias("day")).agg(F.count(F.lit(1)).alias("day_rows"))
+    chunk = year - F.pmod(year - first_year, F.lit(chunk_years))
+    chunk_end = chunk + chunk_years - 1
+    if last_year is not None:
+        later = year > last_year
+        chunk_end = F.when(later, chunk_end).otherwise(F.least(chunk_end, F.lit(last_year)))
+        chunk = F.when(later, F.greatest(chunk, F.lit(last_year + 1))).otherwise(chunk)
     dated = daily.withColumns({
-        "_chunk": chunk, "_year": F.year("day"), "_month": F.trunc("day", "MONTH"),
+        "_chunk": chunk, "_chunk_end": chunk_end, "_year": year, "_month": F.trunc("day", "MONTH"),
     })
     totals = dated.withColumns({
         "_in_chunk": F.sum("day_rows").over(Window.partitionBy("_chunk")),
@@ -125,24 +130,24 @@ def adaptive_windows(
     })
     fits = [
         (F.col("_in_chunk") <= limit, "chunk", F.make_date("_chunk", F.lit(1), F.lit(1)),
-         F.make_date(F.col("_chunk") + chunk_years - 1, F.lit(12), F.lit(31)), "_in_chunk"),
+         F.make_date("_chunk_end", F.lit(12), F.lit(31)), "_in_chunk"),
         (F.col("_in_year") <= limit, "year", F.make_date("_year", F.lit(1), F.lit(1)),
          F.make_date("_year", F.lit(12), F.lit(31)), "_in_year"),
         (F.col("_in_month") <= limit, "month", F.col("_month"), F.last_day("_month"), "_in_month"),
     ]
 
-    def widest(pick, day_value: Column) -> Column:
-        choice = F
+    def widest(pick, day_value: Column, undated: Column) -> Column:
+        choice = F.when(F.col("day").isNull(), undated)
         for fit in fits:
             choice = choice.when(fit[0], pick(fit))
         return choice.otherwise(day_value)
 
     return totals.select(
         "day", "day_rows",
-        widest(lambda f: F.lit(f[1]), F.lit("day")).alias("level"),
-        widest(lambda f: f[2], F.col("day")).alias("window_start"),
-        widest(lambda f: f[3], F.col("day")).alias("window_end"),
-        widest(lambda f: F.col(f[4]), F.col("day_rows")).alias("window_rows"),
+        widest(lambda f: F.lit(f[1]), F.lit("day"), F.lit("undated")).alias("level"),
+        widest(lambda f: f[2], F.col("day"), F.col("day")).alias("window_start"),
+        widest(lambda f: f[3], F.col("day"), F.col("day")).alias("window_end"),
+        widest(lambda f: F.col(f[4]), F.col("day_rows"), F.col("day_rows")).alias("window_rows"),
     )
 
 
@@ -153,11 +158,14 @@ def window_summary(windows: DataFrame) -> DataFrame:
 
 
 def label_windows(df: DataFrame, windows: DataFrame, on: str = "StartDate") -> DataFrame:
-    """Attach ``window_id`` to every row, to write an export in parts of bounded size.
+    """Attach ``window_id`` to every row, to write an export in parts of bounded size. Rows without
+    a date get ``undated``, rows on a day that ``windows`` lacks a null.
 
     ``windows`` has one short row per calendar day, which bounds its size whatever the data
     volume, so it is broadcast and the rows stay where they are."""
     named = windows.select(
         "day", F.concat_ws(":", "level", F.col("window_start").cast("string")).alias("window_id"))
-    return df.withColumn("_day", column(on).cast("date")).join(
-        F.broadcast(named), F.col("_day") == F.col("day")).drop("_day", "day")
+    labelled = df.withColumn("_day", column(on).cast("date")).join(
+        F.broadcast(named), F.col("_day") == F.col("day"), "left")
+    undated = F.when(F.col("_day").isNull(), "undated").otherwise(F.col("window_id"))
+    return labelled.withColumn("window_id", undated).drop("_day", "day")

@@ -36,11 +36,16 @@ def route_lines(lines: DataFrame) -> DataFrame:
 
 
 def split_reports(spark: SparkSession, path: str | list[str], out: str) -> None:
-    """Write yearly reports to ``out`` as text, one folder per report and route."""
+    """Write yearly reports to ``out`` as text, one folder per report, route and place of origin.
+
+    Reports of one name in different folders stay apart: ``folder`` is the name of the folder with
+    a digest of its whole path."""
     lines = read_lines(spark, path)
     report = F.regexp_extract("source_file", r"([^/]+?)(?:\.[^./]*)?$", 1)
-    routed = route_lines(lines).select(report.alias("report"), "route", "value")
-    routed.write.mode("overwrite").partitionBy("report", "route").text(out)
+    parent = F.regexp_extract("source_file", r"^(.*)/[^/]*$", 1)
+    folder = F.concat_ws("-", F.regexp_extract(parent, r"([^/]*)$", 1), F.substring(F.md5(parent), 1, 12))
+    routed = route_lines(lines).select(report.alias("report"), folder.alias("folder"), "route", "value")
+    routed.write.mode("overwrite").partitionBy("report", "route", "folder").text(out)
 
 
 def parse_data_lines(lines: DataFrame) -> DataFrame:

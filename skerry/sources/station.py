@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skerry.functions.cleaning import clock_time, number
-from skerry.sources.lines import read_lines
+from skerry.operators.joins import join_per_source
 
 # Parameter number in the station network and the column it fills.
 PARAMETERS = {
@@ -30,16 +30,22 @@ def parse_station_lines(lines: DataFrame, measure: str) -> DataFrame:
     ).where(F.col("observation_time").isNotNull())
 
 
-def has_header(lines: DataFrame) -> bool:
-    """Whether any line starts with the header word; stops at the first hit."""
-    found = lines.where(F.lower(F.trim("value")).startswith("datum"))
-    return not found.isEmpty()
+def below_header(lines: DataFrame) -> DataFrame:
+    """The lines (source_file, place, value) that follow their file's first header line. Raises a
+    ValueError that names files without one."""
+    is_header = F.lower(F.trim("value")).startswith("datum")
+    headers = lines.groupBy("source_file").agg(F.min(F.when(is_header, F.col("place"))).alias("_header"))
+    headless = headers.where(F.col("_header").isNull()).select("source_file").limit(5).collect()
+    if headless or headers.isEmpty():
+        raise ValueError(f"no data header in {', '.join(r.source_file for r in headless) or 'empty files'}")
+    return join_per_source(lines, headers, "source_file").where(F.col("place") > F.col("_header"))
 
 
 def read_station_export(spark: SparkSession, path: str | list[str], measure: str) -> DataFrame:
-    """Parse an export file. One without a header is not an export, which is an error; one with
-    a header and nothing else is an empty table."""
-    lines = read_lines(spark, path)
-    if not has_header(lines):
-        raise ValueError(f"no data header in {path}")
-    return parse_station_lines(lines, measure)
+    """Parse export files. One without a header is not an export, which is an error; one with
+    a header and nothing else adds no rows. What comes before a header is left out.
+
+    The place of a line is where its split of the file starts, then the order within the split."""
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(path).select(F.input_file_name().alias("source_file"), place.alias("place"), "value")
+    return parse_station_lines(below_header(lines), measure)

@@ -154,3 +154,15 @@ def test_a_hot_bucket_is_split_between_tasks(spark):
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     assert rows[0].n == 300_000
     assert "skew=true" in plan.replace("isSkew", "skew")
+
+
+def test_long_times_between_readings_cost_nothing(spark):
+    """A reading in year 1 and one in year 9999: intervals are made for the buckets of left rows."""
+    right = spark.createDataFrame(
+        [(dt.datetime(1, 1, 1), 1), (T0, 2), (dt.datetime(9999, 1, 1), 3)], "seen timestamp_ntz, value int")
+    left = spark.createDataFrame(
+        [(1, T0 - dt.timedelta(1)), (2, T0 + dt.timedelta(9000)), (3, dt.datetime(9999, 6, 1)), (4, dt.datetime(1, 1, 1))],
+        "id int, at timestamp_ntz")
+    for bucket in (60, 3600):
+        found = asof_join(left, right, "at", "seen", bucket_seconds=bucket).select("id", "value").collect()
+        assert sorted(map(tuple, found)) == [(1, 1), (2, 2), (3, 3), (4, 1)]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from skerry.operators.cleaning import (
     blank_sparse_columns, clean_strings, collate_reports, drop_empty_columns, drop_empty_rows,
 )
-from skerry.operators.selection import adaptive_windows, window_summary
+from skerry.operators.selection import adaptive_windows, label_windows, window_summary
 from skerry.schemas import OBSERVATIONS, RING_RECORDS, WEATHER, add_missing, enforce_schema
 from skerry.schemas import in_both, needs_rebuild
 from skerry.sinks import tables as sinks
@@ -230,6 +230,45 @@ def test_adaptive_windows_cover_everything_once(spark):
     windows = window_summary(adaptive_windows(df, limit=5)).collect()
     found = sorted((r.level, str(r.window_start), str(r.window_end), r.n_rows) for r in windows)
     assert found == [
+        ("chunk", "1940-01-01", "1949-12-31", 1),
         ("chunk", "1950-01-01", "1959-12-31", 3), ("day", "1965-05-01", "1965-05-01", 4),
         ("day", "1965-05-02", "1965-05-02", 9), ("month", "1965-07-01", "1965-07-31", 2),
         ("year", "1961-01-01", "1961-12-31", 4)]
+
+
+def test_windows_end_with_the_last_year_and_keep_undated_rows(spark):
+    days = [dt.datetime(1955, 3, 1), dt.datetime(1963, 1, 1), dt.datetime(1966, 5, 1), None, None]
+    df = spark.createDataFrame(list(enumerate(days)), "id int, StartDate timestamp_ntz")
+    windows = adaptive_windows(df, last_year=1964)
+    found = sorted((r.level, str(r.window_start), str(r.window_end), r.n_rows)
+                   for r in window_summary(windows).collect())
+    assert found == [
+        ("chunk", "1950-01-01", "1959-12-31", 1), ("chunk", "1960-01-01", "1964-12-31", 1),
+        ("chunk", "1965-01-01", "1969-12-31", 1), ("undated", "None", "None", 2)]
+    labelled = label_windows(df, windows)
+    assert labelled.columns == ["id", "StartDate", "window_id"]
+    assert [r.window_id for r in labelled.orderBy("id").collect()] == [
+        "chunk:1950-01-01", "chunk:1960-01-01", "chunk:1965-01-01", "undated", "undated"]
+    assert label_windows(df, windows.where("level = 'undated'")).where("window_id IS NULL").count() == 3
+
+
+def test_station_exports_are_checked_file_by_file(spark, tmp_path):
+    header, line = "Datum;Tid (UTC);Lufttemperatur;Kvalitet\n", "2020-01-01;06:00:00;{};G\n"
+    (tmp_path / "good1.csv").write_text(line.format(9) + header + line.format(1))
+    (tmp_path / "good2.csv").write_text(header + line.format(2) + header + line.format(3))
+    found = read_station_export(spark, f"{tmp_path}/good*.csv", "temperature").collect()
+    assert sorted(r.temperature for r in found) == [1.0, 2.0, 3.0]
+    (tmp_path / "good3.csv").write_text(line.format(4))
+    with pytest.raises(ValueError, match="good3"):
+        read_station_export(spark, f"{tmp_path}/good*.csv", "temperature")
+
+
+def test_reports_of_one_name_stay_apart(spark, tmp_path):
+    for year in ("2020", "2021"):
+        (tmp_path / year).mkdir()
+        (tmp_path / year / "report.txt").write_text(f"Qheader {year}\n")
+    out = str(tmp_path / "split")
+    split_reports(spark, f"{tmp_path}/20*/report.txt", out)
+    found = spark.read.text(out).select("report", "route", F.split("folder", "-")[0], "value")
+    assert sorted(map(tuple, found.collect())) == [
+        ("report", "meta_header", year, f"Qheader {year}") for year in ("2020", "2021")]
