@@ -92,20 +92,23 @@ register("report_routes", "route:s lines:i first:s last:s",
 
 
 def _species_names(t):
-    """Brands up to 20 as a name-search export, in lower case and with many repeats."""
+    """Brands as a name-search export, in lower case and with many repeats; those above 20 under
+    terms that no species has."""
     number_of = F.regexp_extract("p_brand", r"(\d+)$", 1).cast("int")
-    return t.raw("part").where(number_of <= 20).select(
-        F.lower("p_brand").alias("Sökträff"), F.lit("k").alias("Namnkategori"),
+    term = F.concat(F.when(number_of > 20, "z").otherwise(""), F.lower("p_brand"))
+    return t.raw("part").select(
+        term.alias("Sökträff"), F.lit("k").alias("Namnkategori"),
         F.concat(F.lit("sci "), "p_brand").alias("Vetenskapligt namn"), F.lit("a").alias("Auktor"),
         F.concat(F.lit("name "), "p_brand").alias("Svenskt namn"),
         F.lit("Art").alias("Taxonkategori"), number_of.cast("double").alias("TaxonID"))
 
 
 _NAMES_SQL = """
-        SELECT DISTINCT upper(p_brand) AS species_code, 'sci ' || p_brand AS scientific_name,
+        SELECT DISTINCT if(CAST(split_part(p_brand, '#', 2) AS INTEGER) > 20, 'Z', '')
+                   || upper(p_brand) AS species_code, 'sci ' || p_brand AS scientific_name,
                'name ' || p_brand AS swedish_name,
                CAST(split_part(p_brand, '#', 2) AS DOUBLE) AS "TaxonID"
-        FROM part WHERE CAST(split_part(p_brand, '#', 2) AS INTEGER) <= 20"""
+        FROM part"""
 register("species_lookup",
          "species_code:s n:i scientific_name:s swedish_name:s TaxonID:f",
          lambda t: species_lookup(
@@ -380,10 +383,10 @@ register("enforce_schema",
         FROM captures WHERE fat_score <> 2""")
 register("schema_evolution", "age:s weight:f notes:s n:i",
          lambda t: add_missing(t.captures.drop("weight").where("age = 'A'"), RING_RECORDS)
-         .unionByName(t.captures.where("age = 'N'"), allowMissingColumns=True)
+         .unionByName(t.captures.where("age <> 'A'"), allowMissingColumns=True)
          .groupBy("age", "weight", "notes").agg(F.count(F.lit(1)).alias("n")), "captures", """
         SELECT age, if(age = 'A', NULL, weight) AS weight, NULL AS notes, count(*) AS n
-        FROM captures WHERE age IN ('A', 'N') GROUP BY ALL""")
+        FROM captures GROUP BY ALL""")
 register("record_ids", "n:i first:i last:i distinct_ids:i weight:f",
          lambda t: with_record_ids(t.captures.select("weight"), 100).agg(
              F.count(F.lit(1)).alias("n"), F.min("record_id").alias("first"),
