@@ -331,3 +331,19 @@ def test_pipeline(spark):
     result = corpus_pipeline.run(spark, SMALL)
     assert result.columns == ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
     assert {r.doc_id for r in result.collect()} <= {r.doc_id for r in good.collect()}
+
+
+def test_replay_in_blocks_equals_matches_alone(monkeypatch):
+    import public_tokenizers as public
+
+    from skerry.llm import bpe as operator
+    from skerry.llm.tokens import read_ranks
+
+    monkeypatch.setattr(operator, "REPLAY_BYTES", 40)
+    monkeypatch.setattr(operator, "PAIRS", 30)
+    matches = [w.encode() for w in ("unquestionably", " Zusammenhänge", "x" * 100, "", " 1234567", "ÅÄÖåäö", " repetitively")] * 3
+    assert [m for block in operator.blocks(matches) for m in block] == matches
+    replay = operator.MergeReplay(read_ranks(public.path("byte_bpe_multi_50k.tiktoken")))
+    ids = replay.encode(matches)
+    assert ids == [replay.alone(m) for m in matches]
+    assert replay.encode(matches) == ids and replay.encode([]) == []
