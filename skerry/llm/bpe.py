@@ -18,6 +18,8 @@ from skerry.llm.tokens import PartEncoder, read_ranks
 
 #: Bytes of matches whose merges are replayed together, and pairs remembered from one replay to the next.
 REPLAY_BYTES, PAIRS = 1 << 18, 200_000
+#: Bytes of texts encoded in one go, and parts remembered by a worker: replay costs more than memory of parts.
+ENCODED_BYTES, PARTS = 2 << 20, 500_000
 
 
 def blocks(matches: list[bytes]) -> Iterator[list[bytes]]:
@@ -155,7 +157,7 @@ def replay_encoder(ranks_path: str, pattern: str) -> PartEncoder:
         ids = dict(zip(corpus, replay.encode(corpus), strict=True))
         return [ids[own[0]] if len(own) == 1 else [t for m in own for t in ids[m]] for own in matches]
 
-    return PartEncoder(encode)
+    return PartEncoder(encode, PARTS)
 
 
 @lru_cache(maxsize=2)
@@ -178,7 +180,7 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = replay_encoder(ranks_path, pattern)
         for batch in batches:
-            for rows in text_slices(batch):
+            for rows in text_slices(batch, ENCODED_BYTES):
                 ids, lengths = encoder.ids(rows.column("text"))
                 offsets = np.concatenate([[0], np.cumsum(lengths)])
                 yield pa.RecordBatch.from_pydict({

@@ -12,6 +12,7 @@ import base64
 import os
 from collections.abc import Callable
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ import pyarrow.compute as pc
 
 from skerry.llm.text import ragged
 
-#: Parts remembered by a worker; on reaching it the memory starts anew, results are the same.
+#: Parts remembered by a worker at most, in two halves: when the newer is full, the older is forgotten. Results are the same.
 REMEMBERED = 250_000
 #: A space before white space or at the end of the text.
 UNCUT = " (?:[ \\t-\\r\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{180e}\\x{2000}-\\x{200b}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]|\\z)"
@@ -28,17 +29,19 @@ UNCUT = " (?:[ \\t-\\r\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{180e}\\x{2000}-\
 class PartEncoder:
     """ids(texts): flat ids and the number of ids of each text. encode_all: ids of each of many strings."""
 
-    def __init__(self, encode_all: Callable[[list[str]], list[list[int]]]):
-        self.encode_all, self.known = encode_all, {}
+    def __init__(self, encode_all: Callable[[list[str]], list[list[int]]], remembered: int = REMEMBERED):
+        self.encode_all, self.half, self.newer, self.older = encode_all, remembered // 2, {}, {}
 
-    def _parts(self, parts: list[str]) -> list[bytes]:
-        missing = list({p for p in parts if p not in self.known})
-        if len(self.known) + len(missing) > REMEMBERED:
-            self.known = {}
-            missing = list(set(parts))
+    def _parts(self, parts: list[str], remember: bool) -> list[bytes]:
+        met = {p: self.newer.get(p) or self.older.get(p) for p in parts}
+        missing = [p for p, ids in met.items() if ids is None]
         for part, ids in zip(missing, self.encode_all(missing), strict=True):
-            self.known[part] = array.array("I", ids).tobytes()
-        return [self.known[p] for p in parts]
+            met[part] = array.array("I", ids).tobytes()
+        if remember:
+            if len(self.newer) + len(missing) > self.half:
+                self.older, self.newer = self.newer, {}
+            self.newer.update(islice(met.items(), self.half - len(self.newer)))
+        return [met[p] for p in parts]
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         texts = pc.fill_null(texts, "")
@@ -60,7 +63,7 @@ class PartEncoder:
         parts = [" " + p for p in coded.dictionary.filter(pa.array(used)).to_pylist()]
         codes[inner] = place[codes[inner]]
         codes[offsets[:-1]] = len(parts) + np.arange(len(first))
-        found = self._parts(parts) + self._parts(first)
+        found = self._parts(parts, True) + self._parts(first, False)  # whole texts and openings rarely recur
         lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
         values = np.frombuffer(b"".join(found), dtype=np.uint32)
         each = lengths[codes]
