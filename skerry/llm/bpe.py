@@ -47,7 +47,14 @@ class MergeReplay:
         self.ranks = ranks
         self.token = {rank: token for token, rank in ranks.items()}
         self.byte = [ranks[bytes([b])] for b in range(256)]
-        self.merged: dict[tuple[int, int], int] = {}
+        self.pair = np.full((256, 256), -1)
+        for token, rank in ranks.items():
+            if len(token) == 2:
+                self.pair[token[0], token[1]] = rank
+        self.merged = self._byte_pairs()
+
+    def _byte_pairs(self) -> dict[tuple[int, int], int]:
+        return {(self.byte[a], self.byte[b]): int(self.pair[a, b]) for a, b in np.argwhere(self.pair >= 0).tolist()}
 
     def _merge(self, left: int, right: int) -> int:
         """The token that a pair makes, -1 for none."""
@@ -74,7 +81,7 @@ class MergeReplay:
 
     def _replay(self, matches: list[bytes]) -> list[list[int]]:
         if len(self.merged) > PAIRS:
-            self.merged.clear()
+            self.merged = self._byte_pairs()
         out: list[list[int]] = [[]] * len(matches)
         where = []
         for i, match in enumerate(matches):
@@ -82,24 +89,21 @@ class MergeReplay:
                 out[i] = [self.ranks[match]]
             else:
                 where.append(i)
-        byte, merged, get = self.byte, self.merged, self._merge
-        tokens: list[int] = []
-        begins = []
-        for i in where:
-            begins.append(len(tokens))
-            tokens.extend([byte[b] for b in matches[i]])
-            tokens.append(-1)  # between matches
-        size = len(tokens)
+        get, known = self._merge, self.merged.get
+        # Position of a byte: its place among all bytes, and one free position after each match before it.
+        data = np.frombuffer(b"".join([matches[i] for i in where]), np.uint8)
+        lengths = np.array([len(matches[i]) for i in where], dtype=np.int64)
+        owner = np.repeat(np.arange(len(where)), lengths)
+        at, size = np.arange(len(data)) + owner, len(data) + len(where)
+        begins = (np.cumsum(lengths) - lengths + np.arange(len(where))).tolist()
+        whole = np.full(size, -1)
+        whole[at] = np.array(self.byte)[data]
+        tokens = whole.tolist()
         right, left = list(range(1, size + 1)), list(range(-1, size - 1))
-        index: dict[int, list[int]] = {}
-        for i in range(size - 1):
-            a, b = tokens[i], tokens[i + 1]
-            if a >= 0 and b >= 0:
-                made = merged.get((a, b))
-                if made is None:
-                    made = get(a, b)
-                if made >= 0:
-                    index.setdefault(made, []).append(i)
+        made_of = np.where(owner[:-1] == owner[1:], self.pair[data[:-1], data[1:]], -1)
+        by_rank = np.argsort(made_of, kind="stable")[np.count_nonzero(made_of < 0):]
+        ranks, cuts = np.unique(made_of[by_rank], return_index=True)
+        index = dict(zip(ranks.tolist(), map(np.ndarray.tolist, np.split(at[by_rank], cuts[1:])), strict=False))
         heap, odd = list(index), set()
         heapq.heapify(heap)
         while heap:
@@ -110,7 +114,7 @@ class MergeReplay:
                 if a < 0 or j >= size:
                     continue
                 b = tokens[j]
-                if b < 0 or merged.get((a, b), -1) != rank:
+                if b < 0 or known((a, b), -1) != rank:
                     continue
                 k = right[j]
                 tokens[i], tokens[j], right[i] = rank, -2, k
@@ -118,7 +122,9 @@ class MergeReplay:
                     left[k] = i
                     c = tokens[k]
                     if c >= 0:
-                        made = get(rank, c)
+                        made = known((rank, c))
+                        if made is None:
+                            made = get(rank, c)
                         if made >= 0:
                             if made <= rank:
                                 odd.add(i)
@@ -128,7 +134,9 @@ class MergeReplay:
                             index[made].append(i)
                 h = left[i]
                 if h >= 0 and tokens[h] >= 0:
-                    made = get(tokens[h], rank)
+                    made = known((tokens[h], rank))
+                    if made is None:
+                        made = get(tokens[h], rank)
                     if made >= 0:
                         if made <= rank:
                             odd.add(i)
