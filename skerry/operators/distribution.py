@@ -3,9 +3,10 @@
 ``percentile`` keeps one group's distinct values in one task's memory, which is fine for a
 bounded domain such as the day of the year and wrong for a measurement of a group that owns a
 third of the data. Here values are first counted, so copies collapse map-side; the distinct
-values of a group are then spread over *slices* (value ranges of about 1 % relative width), and a
-slice knows from a small table of slice totals how many rows of its group lie below it. Ranks
-come out exact, and the work of a group is shared by as many tasks as it has slices.
+values of a group are then spread over *slices* (value ranges of about 1 % relative width, each
+cut again into equal parts between its smallest and largest value, so that tightly placed values
+spread too), and a slice knows from a small table of slice totals how many rows of its group lie
+below it. Ranks come out exact, and the work of a group is shared by as many tasks as it has slices.
 """
 
 from __future__ import annotations
@@ -21,13 +22,14 @@ from skerry.schemas import column
 QUARTILES = {"q25": 0.25, "median": 0.5, "q75": 0.75}
 
 _SLICES_PER_DOUBLING = 64
+_PARTS_PER_SLICE = 128
 
 
 def _slice(value: Column) -> Column:
     """A whole number that never decreases as ``value`` grows."""
     steps = F.log1p(F.abs(value)) * (_SLICES_PER_DOUBLING / 0.6931471805599453)
-    # NaN ranks above all numbers, and so does its slice.
-    return F.when(F.isnan(value.cast("double")), F.lit(1 << 40)).otherwise(F.floor(F.signum(value) * steps))
+    # NaN ranks above all numbers: it shares the last slice with infinity, behind it.
+    return F.when(F.isnan(value.cast("double")), F.lit((1 << 63) - 1)).otherwise(F.floor(F.signum(value) * steps))
 
 
 def _ranks(method: str, p: float, n: Column) -> list[Column]:
@@ -127,21 +129,32 @@ def _ranked_whole(counts: DataFrame) -> DataFrame:
     )
 
 
+def _sliced(counts: DataFrame) -> DataFrame:
+    """Counts with their slice, ``_s`` and ``_t``. Neither number ever decreases as the value
+    grows, so slices are in order by the first, then the second."""
+    wide = counts.withColumn("_s", _slice(F.col("_v")))
+    edges = wide.groupBy("_g", "_s").agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    reach = F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0))
+    part = F.floor((F.col("_v") - F.col("_low")) / reach * _PARTS_PER_SLICE)
+    return skew_safe_join(wide, edges, ["_g", "_s"]).select(
+        "_g", "_v", "_c", "_s", F.coalesce(part, F.lit(0)).alias("_t"))
+
+
 def _ranked_by_slice(counts: DataFrame) -> DataFrame:
     """As :func:`_ranked_whole`, with a group's values shared out by slice."""
-    hist = counts.withColumn("_s", _slice(F.col("_v")))
+    hist = _sliced(counts)
     # A group has a bounded number of slices, so a window over a group's slices stays small.
     group = Window.partitionBy("_g")
-    below = group.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    below = group.orderBy("_s", "_t").rowsBetween(Window.unboundedPreceding, -1)
     size = F.sum("_in_slice").over(group)
-    slices = hist.groupBy("_g", "_s").agg(
+    slices = hist.groupBy("_g", "_s", "_t").agg(
         F.sum("_c").alias("_in_slice"), F.sum(F.col("_v") * F.col("_c")).alias("_total")
     ).select(
-        "_g", "_s", F.coalesce(F.sum("_in_slice").over(below), F.lit(0)).alias("_below"),
+        "_g", "_s", "_t", F.coalesce(F.sum("_in_slice").over(below), F.lit(0)).alias("_below"),
         size.alias("_n"), (F.sum("_total").over(group) / size).alias("_mean"),
     )
-    within = Window.partitionBy("_g", "_s").orderBy("_v")
-    return hist.join(slices, ["_g", "_s"]).select(
+    within = Window.partitionBy("_g", "_s", "_t").orderBy("_v")
+    return hist.join(slices, ["_g", "_s", "_t"]).select(
         "_g", "_v", "_c", "_n", "_mean",
         (F.col("_below") + F.sum("_c").over(within)).alias("_upto"),
     )

@@ -3,7 +3,9 @@ import random
 import numpy as np
 import pytest
 
-from skerry.operators.distribution import box_stats, distribution, flag_outliers
+from skerry.operators.distribution import (
+    _sliced, box_stats, distribution, flag_outliers, value_counts,
+)
 
 
 @pytest.mark.parametrize("bounded", [False, True])
@@ -58,3 +60,12 @@ def test_outlier_flags(spark):
 def test_constant_column_has_no_zscore_outliers(spark):
     df = spark.createDataFrame([(2.0,), (2.0,)], "v double")
     assert [r.v_outlier for r in flag_outliers(df, "v", "zscore").collect()] == [None, None]
+
+
+def test_tightly_placed_values_are_spread_over_slices(spark):
+    values = [57.30 + i * 5e-6 for i in range(10_000)] + [0.0, 1e9, float("nan"), float("inf")]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    shares = _sliced(value_counts(df, "v")).groupBy("_s", "_t").count()
+    assert max(r["count"] for r in shares.collect()) < 500
+    row = distribution(df, "v", (), {"median": (0.5, "disc"), "top": (1.0, "disc")}).first()
+    assert row["median"] == sorted(values[:-2] + [2e9, 3e9])[5001] and np.isnan(row["top"])
