@@ -154,6 +154,30 @@ def test_labelled_documents(spark):
     assert np.mean(good) > 0.99 and np.mean(bad) < 0.1
 
 
+def test_verdicts_do_not_depend_on_the_table(spark):
+    """A third of all rows being copies of one bad text, without listed words or with some, changes no verdict."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    wanted = {r.doc_id: r.kept for r in quality.judged(docs).collect()}
+    assert not wanted[67] and not wanted[101]
+    for bad in (67, 101):
+        copies = docs.where(F.col("doc_id") == bad).crossJoin(spark.range(len(wanted) // 2)).select((F.col("id") + 10 ** 6).alias("doc_id"), "text")
+        found = {r.doc_id: r.kept for r in quality.judged(docs.unionByName(copies)).collect()}
+        assert not any(found[i] for i in found if i >= 10 ** 6)
+        assert {i: kept for i, kept in found.items() if i < 10 ** 6} == wanted
+    assert not quality.judged(docs.where("doc_id = 67")).first().kept
+
+
+def test_references_weigh_each_text_once(spark):
+    good = spark.createDataFrame([(0, "the " * 50 + "word " * 50), (1, "the " * 25 + "word " * 75), (1, "the " * 25 + "word " * 75),
+                                  (2, "###### " * 100)], "doc_id long, text string")
+    found = quality.references(quality.measured(good))
+    assert set(found) == {"en"} and abs(found["en"]["common"][0] - 0.375) < 1e-12
+    assert quality.measured(good).where("language IS NULL").count() == 1
+    for name, own in quality.REFERENCES.items():
+        assert len(own["common"]) == len(quality.COMMON_WORDS[name].split()) + 1 and len(own["classes"]) == len(quality.CLASSES) + 1
+        assert all(abs(sum(shares) - 1) < 1e-9 for shares in own.values())
+
+
 def test_urls(spark, rows):
     pages = [(i, u, 0) for i, u in enumerate([None, "", "no scheme", "http://", "HTTP://A.Example.ORG/en/1x?y", "x://example.org", "x://example.org/es/#",
              "x://notexample.org/es/", "a://b.com/fr/://c", "a://com/de/", "x://example.org/en/2"] + ["x://example.org/en/1"] * 3)]
