@@ -14,14 +14,20 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.judged(docs).where("kept").select(*docs.columns)
 
 
-def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: of rows that repeat its doc_id, one as well.
-    Documents without words are all kept, as are those without a doc_id."""
-    kept = neardup.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str, width: int = 4) -> DataFrame:
+    """One document of each group of near-duplicates, by sets of `width` words: of rows that repeat
+    its doc_id, one as well. Documents without words are all kept, as are those without a doc_id."""
+    found = neardup.near_duplicates(docs, width)
+    kept = found.where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
     ones = skew_safe_join(docs.where("doc_id IS NOT NULL"), kept, ["doc_id"], "left_semi").dropDuplicates(["doc_id"])
     return ones.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """keep_one_of_each() by sets of five words; four are for op2 alone."""
+    return keep_one_of_each(spark, docs, sf_dir, width=5)
+
+
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their personal data replaced by its kind."""
     return pii.masked(docs)
@@ -32,7 +38,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs)
 
 
-STAGES = [("quality", keep_good), ("near_dedup", keep_one_of_each), ("personal_data", mask_personal_data), ("packing", pack)]
+STAGES = [("quality", keep_good), ("near_dedup", near_dedup), ("personal_data", mask_personal_data), ("packing", pack)]
 #: Near-duplicates, spans and token ids are beyond SQL; tests compare with brute force.
 ORACLE_SQL = None
 

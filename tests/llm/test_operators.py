@@ -357,6 +357,26 @@ def test_pipeline(spark):
     assert {r.doc_id for r in result.collect()} <= {r.doc_id for r in good.collect()}
 
 
+def test_pipeline_near_duplicates_by_five_words(spark):
+    """Pairs on both sides of the bound, and between the measures by four and by five words."""
+    texts = []
+    for pair, (size, edits) in enumerate([(200, 5), (400, 9), (400, 11), (200, 2), (200, 12), (400, 8)]):
+        own = [f"p{pair}w{i}" for i in range(size)]
+        texts.append(" ".join(own))
+        for e in range(edits):
+            own[(2 * e + 1) * size // (2 * edits)] = f"p{pair}x{e}"
+        texts.append(" ".join(own))
+    first = {}
+    for width in (4, 5):
+        cut = {i: t.split() for i, t in enumerate(texts)}
+        first[width] = links({i: {tuple(w[k:k + width]) for k in range(len(w) - width + 1)} for i, w in cut.items()})
+    assert [i for i in first[4] if first[4][i] != first[5][i]] == [1, 3, 5]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    stage = dict(corpus_pipeline.STAGES)["near_dedup"]
+    found = sorted(r.doc_id for r in stage(spark, docs, SMALL).collect())
+    assert found == [i for i in first[5] if first[5][i] == i]
+
+
 def test_replay_in_blocks_equals_matches_alone(monkeypatch):
     import public_tokenizers as public
 
