@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,6 +18,8 @@ KINDS = ("email", "ip", "card", "phone")
 #: Outside, and for each kind the first and the later words of a span.
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 FEATURES = 4096
+#: Words of a run that are decoded in one go; a longer run is decoded whole, in parts of so many.
+PART = 200
 #: A span is added if each of its words belongs to one with this probability at least.
 SURE = 0.9
 #: Documents that labels are taken from, at most, and runs of words of them.
@@ -136,22 +138,55 @@ def log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
-def marginals(moves: np.ndarray, scores: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Probabilities of labels (run, word, label), and the expected moves of all runs, by forward-backward."""
+def most(x: np.ndarray, axis: int) -> np.ndarray:
+    return x.max(axis=axis)
+
+
+def ends(moves: np.ndarray, parts: list[np.ndarray], fold: Callable[[np.ndarray, int], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """For each of the successive parts of one run, given by their scores, what the words before it
+    add to the labels of its first word, and those after it to the labels of its last (part, label):
+    by log_sum over all of their paths, for marginals(), or by the most of one, for viterbi().
+
+    Each part is crossed once, from every label before it to every label of its last word, all parts
+    at the same time; then the crossings are put one after the other. Numbers common to all labels
+    are left out, as they change neither probabilities nor the best path."""
+    scores, lengths = padded(parts)
+    across = moves + scores[:, 0, None]
+    for t in range(1, scores.shape[1]):
+        on = fold(across[..., None] + moves, 2) + scores[:, t, None]
+        across = np.where((t < lengths)[:, None, None], on, across)
+    first, last = np.empty((2, len(parts), len(LABELS)))
+    first[0], last[-1] = moves[0], moves[:, 0]
+    before = across[0, 0]
+    for k in range(1, len(parts)):
+        before = before - before.max()
+        first[k] = fold(before[:, None] + moves, 0)
+        before = fold(before[:, None] + across[k], 0)
+    for k in range(len(parts) - 2, -1, -1):
+        last[k] = fold(across[k + 1] + last[k + 1], 1)
+        last[k] -= last[k].max()
+    return first, last
+
+
+def marginals(moves: np.ndarray, scores: np.ndarray, lengths: np.ndarray, first: np.ndarray | None = None,
+              last: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities of labels (run, word, label), and the expected moves of all runs, by forward-backward.
+
+    Rows are whole runs or, with `first` and `last` of ends(), parts; the moves of parts mean nothing."""
     runs_, longest, labels = scores.shape
+    first, after = moves[0] if first is None else first, np.broadcast_to(moves[:, 0] if last is None else last, (runs_, labels))
     forward, backward = np.zeros_like(scores), np.zeros_like(scores)
-    forward[:, 0] = moves[0] + scores[:, 0]
+    forward[:, 0] = first + scores[:, 0]
     for t in range(1, longest):
         forward[:, t] = log_sum(forward[:, t - 1, :, None] + moves[None], 1) + scores[:, t]
     last = lengths - 1
     for t in range(longest - 1, -1, -1):
-        ends = np.broadcast_to(moves[:, 0], (runs_, labels))
         if t < longest - 1:
             on = log_sum(moves[None] + (scores[:, t + 1] + backward[:, t + 1])[:, None, :], 2)
-            backward[:, t] = np.where((last == t)[:, None], ends, on)
+            backward[:, t] = np.where((last == t)[:, None], after, on)
         else:
-            backward[:, t] = ends
-    whole = log_sum(forward[np.arange(runs_), last] + moves[:, 0], 1)
+            backward[:, t] = after
+    whole = log_sum(forward[np.arange(runs_), last] + after, 1)
     inside = np.arange(longest)[None] < lengths[:, None]
     own = np.where(inside[..., None], np.exp(forward + backward - whole[:, None, None]), 0.0)
     expected = np.zeros_like(moves)
@@ -163,10 +198,12 @@ def marginals(moves: np.ndarray, scores: np.ndarray, lengths: np.ndarray) -> tup
     return own, expected
 
 
-def viterbi(moves: np.ndarray, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Best labels (run, word) of a batch of runs; beyond a run's length they mean nothing."""
+def viterbi(moves: np.ndarray, scores: np.ndarray, lengths: np.ndarray, first: np.ndarray | None = None,
+            last: np.ndarray | None = None) -> np.ndarray:
+    """Best labels (run, word) of a batch of runs, or of parts with `first` and `last` of ends();
+    beyond a run's length they mean nothing."""
     runs_, longest, _ = scores.shape
-    best = moves[0] + scores[:, 0]
+    best = (moves[0] if first is None else first) + scores[:, 0]
     back = np.zeros(scores.shape, dtype=np.int64)
     final = best.copy()
     for t in range(1, longest):
@@ -175,7 +212,7 @@ def viterbi(moves: np.ndarray, scores: np.ndarray, lengths: np.ndarray) -> np.nd
         best = options.max(axis=1) + scores[:, t]
         final = np.where((lengths - 1 == t)[:, None], best, final)
     path = np.zeros((runs_, longest), dtype=np.int64)
-    label = (final + moves[:, 0]).argmax(axis=1)
+    label = (final + (moves[:, 0] if last is None else last)).argmax(axis=1)
     for t in range(longest - 1, -1, -1):
         here = lengths - 1 >= t
         path[here, t] = label[here]
@@ -261,41 +298,56 @@ def train_on(docs: DataFrame) -> Crf:
 def added(model: Crf, texts: list[str], known: list[list[tuple[int, int, str]]]) -> list[list[tuple[int, int, str]]]:
     """Spans that the model finds in each text besides the known ones, which they never overlap."""
     out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-    todo, cache = [], {}
-    for i, text in enumerate(texts):
-        for words in runs(text):
-            for low in range(0, len(words), 200):  # longer runs in parts
-                todo.append((i, words[low:low + 200]))
-    todo.sort(key=lambda x: len(x[1]))
-    for low in range(0, len(todo), 512):
-        part = todo[low:low + 512]
-        emitted = []
-        for i, words in part:
-            rows = []
-            for a, b in words:
-                f = features(texts[i][a:b])
-                if f not in cache:
-                    cache[f] = model.weights[list(f)].sum(axis=0)
-                rows.append(cache[f])
-            emitted.append(np.array(rows))
-        scores, lengths = padded(emitted)
-        paths, (own, _) = viterbi(model.moves, scores, lengths), marginals(model.moves, scores, lengths)
-        for (i, words), path, p in zip(part, paths, own, strict=True):
-            at = 0
-            while at < len(words):
-                label = LABELS[path[at]]
-                stop = at + 1
-                if label != "O":
-                    while stop < len(words) and LABELS[path[stop]] == "I-" + label[2:]:
-                        stop += 1
-                    start, end = words[at][0], words[stop - 1][1]
-                    inner = texts[i][start:end]
-                    start += len(inner) - len(inner.lstrip("\"'.,;:!?*#$%&|<>"))
-                    end -= len(inner) - len(inner.rstrip("\"'.,;:!?*#$%&|<>("))
-                    sure = all(p[t, path[t]] >= SURE for t in range(at, stop))
-                    if sure and start < end and not any(s[0] < end and start < s[1] for s in known[i]):
-                        out[i].append((start, end, label[2:]))
-                at = stop
+    of_text = [(i, words) for i, text in enumerate(texts) for words in runs(text)]
+    todo, cache = [(k, low) for k, (_, words) in enumerate(of_text) for low in range(0, len(words), PART)], {}
+    todo.sort(key=lambda x: len(of_text[x[0]][1]))  # parts of a run stay together, in their order
+    labels_of, sure_of = ([np.zeros(len(words), d) for _, words in of_text] for d in (np.int8, bool))
+
+    def emitted(k: int, low: int) -> np.ndarray:
+        i, words = of_text[k]
+        rows = []
+        for a, b in words[low:low + PART]:
+            f = features(texts[i][a:b])
+            if f not in cache:
+                cache[f] = model.weights[list(f)].sum(axis=0)
+            rows.append(cache[f])
+        return np.array(rows)
+
+    own_ends = (model.moves[0], model.moves[:, 0])
+    run_ends, now = {}, None
+    for at in range(0, len(todo), 512):
+        part, own, bounds = todo[at:at + 512], [], []
+        for k, low in part:
+            if len(of_text[k][1]) <= PART:
+                own.append(emitted(k, low))
+                bounds.append(own_ends * 2)
+                continue
+            if k != now:
+                now, held = k, [emitted(k, x) for x in range(0, len(of_text[k][1]), PART)]
+                run_ends = list(zip(*ends(model.moves, held, most), *ends(model.moves, held, log_sum), strict=True))
+            own.append(held[low // PART])
+            bounds.append(run_ends[low // PART])
+        scores, lengths = padded(own)
+        b = [np.array(x) for x in zip(*bounds, strict=True)]
+        paths, (p, _) = viterbi(model.moves, scores, lengths, *b[:2]), marginals(model.moves, scores, lengths, *b[2:])
+        sure = np.take_along_axis(p, paths[..., None], 2)[..., 0] >= SURE
+        for (k, low), n, path, s in zip(part, lengths, paths, sure, strict=True):
+            labels_of[k][low:low + n], sure_of[k][low:low + n] = path[:n], s[:n]
+    for (i, words), path, sure in zip(of_text, labels_of, sure_of, strict=True):
+        at = 0
+        while at < len(words):
+            label = LABELS[path[at]]
+            stop = at + 1
+            if label != "O":
+                while stop < len(words) and LABELS[path[stop]] == "I-" + label[2:]:
+                    stop += 1
+                start, end = words[at][0], words[stop - 1][1]
+                inner = texts[i][start:end]
+                start += len(inner) - len(inner.lstrip("\"'.,;:!?*#$%&|<>"))
+                end -= len(inner) - len(inner.rstrip("\"'.,;:!?*#$%&|<>("))
+                if sure[at:stop].all() and start < end and not any(s[0] < end and start < s[1] for s in known[i]):
+                    out[i].append((start, end, label[2:]))
+            at = stop
     return out
 
 

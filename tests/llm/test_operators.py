@@ -344,6 +344,32 @@ def test_viterbi_and_marginals_against_all_paths():
             assert abs(own[n, t, 1] - sum(np.exp(v) for p, v in value.items() if p[t] == 1) / total) < 1e-9
 
 
+def test_parts_of_a_run_are_decoded_as_the_whole():
+    rng = np.random.default_rng(9)
+    labels = len(pii.LABELS)
+    moves = np.where(pii.FORBIDDEN, -1e4, rng.normal(size=(labels, labels)))
+    score = rng.normal(size=(23, labels))
+    whole, length = pii.padded([score])
+    path, (own, _) = pii.viterbi(moves, whole, length)[0], pii.marginals(moves, whole, length)
+    for size in (1, 5, 22):
+        parts = [score[low:low + size] for low in range(0, 23, size)]
+        scores, lengths = pii.padded(parts)
+        paths = pii.viterbi(moves, scores, lengths, *pii.ends(moves, parts, pii.most))
+        found, _ = pii.marginals(moves, scores, lengths, *pii.ends(moves, parts, pii.log_sum))
+        assert np.concatenate([x[:n] for x, n in zip(paths, lengths, strict=True)]).tolist() == path.tolist()
+        assert np.abs(np.concatenate([x[:n] for x, n in zip(found, lengths, strict=True)]) - own[0]).max() < 1e-9
+
+
+def test_number_across_word_200_of_a_run():
+    moves = np.where(pii.FORBIDDEN, -1e4, 0.0)
+    model = pii.Crf(np.zeros((pii.FEATURES, len(pii.LABELS))), moves)
+    for word, label in (("2019", "O"), ("(030)", "B-phone"), ("555-7713", "I-phone")):
+        model.weights[pii.features(word)[0], pii.LABELS.index(label)] = 10
+    texts = ["2019 " * n + "(030) 555-7713" + " 2020" * 300 for n in (0, 3, 198, 199, 200, 399, 599)]
+    found = pii.added(model, [*texts, "2019"], [[]] * 8)
+    assert found == [[(t.index("("), t.index("(") + 14, "phone")] for t in texts] + [[]]
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     good = corpus_pipeline.keep_good(spark, docs, SMALL)
