@@ -103,12 +103,13 @@ def runs(text: str) -> list[list[tuple[int, int]]]:
 
 
 def features(word: str) -> tuple[int, ...]:
-    """Hashed features of a word's shape: letters and digits by class, runs of one class cut to three."""
-    core = word[:64].strip(".,;:!?\"'*#$%&|<>")
+    """Hashed features of a word's shape: letters and digits by class, runs of one class cut to three;
+    of the shape of a long word the first 64 characters, all else of the whole word."""
+    core = word.strip(".,;:!?\"'*#$%&|<>")
     shape = re.sub("[0-9]", "9", re.sub(r"[^\W\d_]", "a", re.sub("[A-Z]", "A", core)))
     short = re.sub(r"(.)\1{3,}", r"\1\1\1", shape)
     digits = sum(c == "9" for c in shape)
-    own = (short, f"digits {min(digits, 20)}", f"length {min(len(core), 30)}", f"first {short[:2]}", f"last {short[-2:]}",
+    own = (short[:64], f"digits {min(digits, 20)}", f"length {min(len(core), 30)}", f"first {short[:2]}", f"last {short[-2:]}",
            f"signs {''.join(sorted(set(re.sub('[aA9]', '', shape))))}", "long" if len(word) > 64 else "all")
     return tuple(zlib.crc32(f.encode()) % FEATURES for f in own)
 

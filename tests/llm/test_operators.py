@@ -370,6 +370,13 @@ def test_number_across_word_200_of_a_run():
     assert found == [[(t.index("("), t.index("(") + 14, "phone")] for t in texts] + [[]]
 
 
+def test_features_of_the_whole_word():
+    long = "word," * 20
+    plain, number = pii.features(long + "word"), pii.features(long + "(030)555-7713")
+    assert plain[0] == number[0] and plain[1] != number[1] and plain[4] != number[4] and plain[5] != number[5]
+    assert pii.features("555-7713")[1:2] == pii.features("x" * 100 + "5557713")[1:2]
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     good = corpus_pipeline.keep_good(spark, docs, SMALL)
