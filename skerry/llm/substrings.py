@@ -23,13 +23,14 @@ from skerry.operators.joins import skew_safe_join
 
 #: Consecutive windows that travel together at most; longer runs are cut, which loses no window.
 RUN = 256
-#: Different packed strings that a bucket holds at most; windows of larger ones travel singly.
-BUCKET = 1000
+#: Windows that a bucket's different strings hold at most, which take some 50 MB to sort; those of
+#: larger buckets travel singly.
+BUCKET = 200_000
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 RUNS = "doc_id long, print long, minimiser long, digest binary, start int, n int"
-STRINGS = "minimiser long, digest binary, least long, last long, packed binary"
+STRINGS = "minimiser long, digest binary, least long, last long, n int, packed binary"
 SEGMENTS = "digest binary, segments array<struct<first int, last int, least long>>"
 WINDOWS = "window binary, digest binary, at int, least long, last long"
 
@@ -138,8 +139,8 @@ def remove_repeats(docs: DataFrame, window: int = 50, mer: int = 8, bucket: int
 
     One scan gives the super-k-mers without their words: minimiser, digest, place. Only those whose
     minimiser occurs in more than one document go on, and of equal ones the words are fetched once,
-    from the least document. A bucket of more than `bucket` different strings (a passage in very
-    many contexts) is not compared in one task: its windows travel singly and are grouped as they
+    from the least document. A bucket with more than `bucket` windows in different strings (a passage
+    in very many contexts) is not compared in one task: its windows travel singly and are grouped as they
     are. Nothing else depends on how often a passage occurs: equal strings collapse before any
     shuffle, and joins let adaptive execution split hot keys.
 
@@ -171,20 +172,20 @@ def remove_repeats(docs: DataFrame, window: int = 50, mer: int = 8, bucket: int
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in text_slices(batch, 4 << 20):
-                out: list[list] = [[], [], [], [], []]
+                out: list[list] = [[], [], [], [], [], []]
                 for doc_id, text, wanted in zip(rows.column("doc_id").to_pylist(), rows.column("text"), rows.column("spans").to_pylist(), strict=True):
                     own = WORD.findall(text.as_buffer())
                     for s in wanted:
                         packed = b" ".join(own[s["start"]:s["start"] + s["n"] + window - 1])
-                        for column, value in zip(out, (s["minimiser"], s["digest"], doc_id, s["last"], packed), strict=True):
+                        for column, value in zip(out, (s["minimiser"], s["digest"], doc_id, s["last"], s["n"], packed), strict=True):
                             column.append(value)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary()), strict=True)],
-                    ["minimiser", "digest", "least", "last", "packed"])
+                    [pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)],
+                    ["minimiser", "digest", "least", "last", "n", "packed"])
 
     fetched = skew_safe_join(named, spans, ["doc_id", "print"]).dropDuplicates(["doc_id", "print"]).select("doc_id", "text", "spans")
     packed = stored(fetched.mapInArrow(cut, STRINGS), "strings")
-    large = packed.groupBy("minimiser").agg(F.count(F.lit(1)).alias("strings")).where(F.col("strings") > bucket).select("minimiser", F.lit(True).alias("large"))
+    large = packed.groupBy("minimiser").agg(F.sum("n").alias("windows")).where(F.col("windows") > bucket).select("minimiser", F.lit(True).alias("large"))
     packed = skew_safe_join(packed, large, ["minimiser"], "left")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -52,7 +52,7 @@ def repeating_rows():
     return rows
 
 
-@pytest.mark.parametrize("bucket", [1000, 1])
+@pytest.mark.parametrize("bucket", [substrings.BUCKET, 100, 1])
 def test_repeats_equal_brute_force(spark, bucket):
     rows = repeating_rows()
     docs = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], "doc_id long, text string, print string, digest int").repartition(3)
