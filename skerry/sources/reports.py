@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skerry.functions.cleaning import REPORT_NULLS, nulled
-from skerry.sources.lines import read_lines, unfold
+from skerry.sources.lines import read_lines, split_quoted, unfold
 
 # What the first character of a line means. Everything else, the personal data of
 # ringers (H) included, is dropped.
@@ -49,9 +49,10 @@ def split_reports(spark: SparkSession, path: str | list[str], out: str) -> None:
 
 
 def parse_data_lines(lines: DataFrame) -> DataFrame:
-    """The eighteen used fields of each data line as text; missing-value tokens become null."""
+    """The eighteen used fields of each data line as text; missing-value tokens become null. A field
+    in quotes may hold pipes and doubled quotes."""
     kept = [c for c in lines.columns if c not in ("value", "route")]
-    parts = lines.select(*kept, F.split("value", r"\|").alias("_parts"))
+    parts = unfold(lines, [split_quoted(F.col("value"), "|").alias("_parts")], kept)
 
     def field(position: int) -> Column:
         return nulled(F.get("_parts", F.lit(position)), REPORT_NULLS)
@@ -59,6 +60,11 @@ def parse_data_lines(lines: DataFrame) -> DataFrame:
     return unfold(parts, [field(i).alias(name) for i, name in FIELDS.items()], kept)
 
 
-def read_ring_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Data files below per-year folders, e.g. ``raw/*/ring_records.txt``, with their file."""
-    return parse_data_lines(read_lines(spark, path).where(F.trim("value") != ""))
+def read_ring_records(spark: SparkSession, root: str, report: str | None = None) -> DataFrame:
+    """The data lines below the folder that :func:`split_reports` wrote, with their file; all
+    reports or one. Route and report are folders, so others are not listed or read."""
+    lines = spark.read.text(root).where(F.col("route") == "ring_records")
+    if report is not None:
+        lines = lines.where(F.col("report") == report)
+    lines = lines.select(F.input_file_name().alias("source_file"), "value")
+    return parse_data_lines(lines.where(F.trim("value") != ""))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skerry.functions.cleaning import clock_time, number
 from skerry.operators.joins import join_per_source
+from skerry.sources.lines import placed_lines
 
 # Parameter number in the station network and the column it fills.
 PARAMETERS = {
@@ -46,6 +47,5 @@ def read_station_export(spark: SparkSession, path: str | list[str], measure: str
     a header and nothing else adds no rows. What comes before a header is left out.
 
     The place of a line is where its split of the file starts, then the order within the split."""
-    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
-    lines = spark.read.text(path).select(F.input_file_name().alias("source_file"), place.alias("place"), "value")
+    lines = placed_lines(spark, path).select("source_file", F.struct("block", "line").alias("place"), "value")
     return parse_station_lines(below_header(lines), measure)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,9 +12,11 @@ from skerry.functions.cleaning import (
     EXPORT_NULLS, flag, nulled, number, offset_to_utc, trimmed, whole_number,
 )
 from skerry.operators.filters import matching
-from skerry.operators.joins import join_per_source
+from skerry.operators.joins import skew_safe_join
 from skerry.schemas import OBSERVATIONS, RING_RECORDS, column
-from skerry.sources.lines import decode_lines, read_lines
+from skerry.sources.lines import (
+    decoded, encoding_flags, open_quote, placed_lines, split_quoted, unfold, whole_records,
+)
 
 
 def read_captures_csv(
@@ -34,46 +36,62 @@ def read_captures_csv(
     ])
 
 
-def parse_export_lines(
-    lines: DataFrame, schema: T.StructType = OBSERVATIONS, key: str = "OccurrenceId",
-    source: str = "source_file",
+def read_observation_export(
+    spark: SparkSession, path: str | list[str], schema: T.StructType = OBSERVATIONS,
+    key: str = "OccurrenceId",
 ) -> DataFrame:
-    """Tab-separated lines to the columns of ``schema`` that the export names in its header.
-
-    Every file brings its own header, recognised by the key column's name, so files may order
-    their columns differently. Null tokens and values that do not fit become null, fields beyond
-    the header are ignored, and offset timestamps become UTC."""
-    cells = F.split("value", "\t")
-    # The plain search spares nearly every line the split.
-    is_header = F.col("value").contains(key) & F.array_contains(cells, key)
-    # One row per file, saying at which position each declared column is found: a header is a
-    # header, however often it occurs.
-    headers = lines.where(is_header).groupBy(source).agg(F.max(cells).alias("_names")).select(
-        source, F.lit(True).alias("_known"), *[F.array_position("_names", f.name).cast("int").alias(f"_at_{f.name}")
-                  for f in schema])
-    body = join_per_source(
-        lines.where(~is_header).select(source, cells.alias("_cells")), headers, source, "left")
-    # A file without a header would otherwise come out empty.
-    unknown = F.raise_error(F.concat(F.lit("no header line in "), F.col(source))).cast("boolean")
-    body = body.where(F.coalesce("_known", unknown))
+    """Tab-separated export files, in UTF-8, windows-1252 or latin-1, as the columns of ``schema``.
+
+    The first line of a file that is not blank is its header; files may order their columns
+    differently, and one without the key column is an error. Fields in quotes may hold tabs, line
+    ends (any of them read as a line feed) and doubled quotes. Null tokens and values that do not
+    fit become null, fields beyond the header are ignored, offset timestamps become UTC, rows
+    without a key are left out.
+
+    One scan gives a row for each block of a file: how the file reads, where its columns are, and
+    whether the block begins within quotes. The second scan meets these rows once."""
+    lines = placed_lines(spark, path)
+    filled = F.when(F.trim("value") != "", F.struct("block", "line", "value"))
+    odd = open_quote(F.col("value"))
+    blocks = lines.groupBy("source_file", "block").agg(
+        *[c.alias(name) for name, c in encoding_flags(F.col("value")).items()],
+        F.min(filled).alias("_first"), F.bool_or(odd).alias("_any"), F.sum(odd.cast("int")).alias("_odd"))
+    whole = Window.partitionBy("source_file")
+    earlier = whole.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.coalesce(F.sum("_odd").over(earlier), F.lit(0)) % 2 == 1
+    closed = F.when(F.sum("_odd").over(whole) % 2 == 1, F.raise_error(
+        F.concat(F.lit("a quote is not closed in "), F.col("source_file"))).cast("boolean")).otherwise(True)
+    facts = blocks.select(
+        "source_file", "block", F.bool_and("_utf8").over(whole).alias("_utf8"),
+        F.bool_or("_odd_bytes").over(whole).alias("_odd_bytes"), F.min("_first").over(whole).alias("_first"),
+        inside.alias("_inside"), "_any", closed.alias("_closed"))
+    names = split_quoted(decoded(F.col("_first.value")), "\t")
+    known = F.when(F.array_contains(names, key), True).otherwise(F.raise_error(
+        F.concat(F.lit("no header line in "), F.col("source_file"))).cast("boolean"))
+    # One array of positions instead of a column for each field.
+    places = F.array(*[F.array_position("_names", f.name).cast("int") for f in schema])
+    facts = facts.where("_first IS NOT NULL").withColumn("_names", names).select(
+        "source_file", "block", "_utf8", "_odd_bytes", F.struct("_first.block", "_first.line").alias("_header"),
+        places.alias("_places"), F.when(F.col("_any") | F.col("_inside"), F.col("_inside")).alias("inside"),
+        (F.col("_closed") & known).alias("_known"))
+    body = skew_safe_join(lines, facts, ["source_file", "block"]).where(
+        F.col("_known") & (F.struct("block", "line") != F.col("_header")))
+    records = whole_records(body.select(
+        "source_file", "block", "line", decoded(F.col("value")).alias("value"), "inside", "_places"))
+    return parse_records(records, schema, key)
+
+
+def parse_records(records: DataFrame, schema: T.StructType, key: str) -> DataFrame:
+    """Records (``value``, and at which field each column of ``schema`` is: ``_places``) as typed columns."""
+    cells = unfold(records, [split_quoted(F.col("value"), "\t").alias("_cells")], ["_places"])
 
     # Text first, types in a second step: a parser reads its value several times over.
-    def cell(name: str):
-        position = column(f"_at_{name}")
-        return F.when(position > 0, F.get("_cells", position - 1)).alias(name)
-
-    def unquoted(name: str):
-        quoted = column(name).startswith('"') & column(name).endswith('"')
-        bare = F.when(quoted, F.trim(column(name), F.lit('"'))).otherwise(column(name))
-        return nulled(bare, EXPORT_NULLS).alias(name)
-
-    text = body.select(*[cell(f.name) for f in schema]).select(
-        *[unquoted(f.name) for f in schema])
-
-    typed = {
-        "timestamp_ntz": offset_to_utc, "int": whole_number, "boolean": flag,
-        "double": number,
-    }
+    def cell(index: int, name: str):
+        position = F.get("_places", F.lit(index))
+        return nulled(F.when(position > 0, F.get("_cells", position - 1)), EXPORT_NULLS).alias(name)
+
+    text = cells.select(*[cell(i, f.name) for i, f in enumerate(schema)])
+    typed = {"timestamp_ntz": offset_to_utc, "int": whole_number, "boolean": flag, "double": number}
     columns = []
     for field in schema:
         parse = typed.get(field.dataType.simpleString(), lambda c: c)
@@ -81,12 +99,6 @@ def parse_export_lines(
     return text.where(column(key).isNotNull()).select(*columns)
 
 
-def read_observation_export(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Observation export files in UTF-8, windows-1252 or latin-1."""
-    lines = read_lines(spark, path)
-    return parse_export_lines(decode_lines(lines))
-
-
 def read_species_names(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """The name-search export that ``operators.joins.species_lookup`` takes."""
     raw = spark.read.options(header=True).csv(path)

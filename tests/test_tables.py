@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import random
 import uuid
 
 import pytest
@@ -15,7 +16,7 @@ from skerry.schemas import OBSERVATIONS, RING_RECORDS, WEATHER, add_missing, enf
 from skerry.schemas import in_both, needs_rebuild
 from skerry.sinks import tables as sinks
 from skerry.sinks.merge import replace_window, upsert
-from skerry.sources.lines import decode_lines, read_lines
+from skerry.sources.lines import decode_lines, read_lines, split_quoted
 from skerry.sources.reports import FIELDS, read_ring_records, split_reports
 from skerry.sources.station import read_station_export
 from skerry.sources.tables import (
@@ -37,7 +38,8 @@ def data_line(**values):
 def test_reports_end_to_end(spark, tmp_path):
     year1 = [data_line(), data_line(), data_line(ring_number="2", date="soon", weight="fat"),
              data_line(scheme="OTH"), data_line(station_name="ELSEWHERE")]
-    year2 = [data_line(), data_line(ring_number="3", notes="seen", species_code="XYZ"), ""]
+    year2 = [data_line(), data_line(ring_number="3", notes="seen", species_code="XYZ"),
+             data_line(ring_number="4", notes='"a ""b""|c"'), ""]
     (tmp_path / "site-2020.txt").write_text(
         "\n".join(["Qheader", "Mstation", "Hsecret person", "", "Sinitials", *year1]))
     (tmp_path / "site-2021.txt").write_text("\n".join(["Lplace", "?odd", *year2]))
@@ -52,12 +54,13 @@ def test_reports_end_to_end(spark, tmp_path):
     names = tmp_path / "names.csv"
     names.write_text("Sökträff,Namnkategori,Vetenskapligt namn,Auktor,Svenskt namn,Taxonkategori,"
                      "TaxonID\nabc,k,Sci,a,Swe,Art,7\nabc,k,Sci,a,Swe,Art,7\n")
-    raw = read_ring_records(spark, f"{out}/report=*/route=ring_records")
+    raw = read_ring_records(spark, out)
+    assert read_ring_records(spark, out, "site-2021").count() == 3
     clean = collate_reports(raw, "SCH", "HERE", read_species_names(spark, str(names)))
     assert sorted((r.ring_number, str(r.date), r.weight, r.swedish_name, r.notes)
                   for r in clean.collect()) == [
         ("1", "2021-05-01", 10.5, "Swe", None), ("2", "None", None, "Swe", None),
-        ("3", "2021-05-01", 10.5, None, "seen")]
+        ("3", "2021-05-01", 10.5, None, "seen"), ("4", "2021-05-01", 10.5, "Swe", 'a "b"|c')]
 
 
 def test_station_export(spark, tmp_path):
@@ -98,6 +101,52 @@ def test_observation_exports_with_different_headers_and_encodings(spark, tmp_pat
     assert rows["u:3"].Locality == "Malmö – €"
 
 
+def test_observation_exports_with_quoted_fields(spark, tmp_path):
+    head = "OccurrenceId\tLocality\tRecordedBy\tOccurrenceRemarks\n"
+    (tmp_path / "a.tsv").write_text(
+        "\n" + head + '1\t"tab\there"\t"say ""hi"""\tplain\n2\t"two\nlines, ""q"" \n\nfour"\t""\tx\n'
+        + head + '3\tOccurrenceId\t"5\tcm\n"\t"OccurrenceId"\textra\n4\ta"b"\t"c"d\t"\n"\n')
+    (tmp_path / "b.tsv").write_text('OccurrenceRemarks\tOccurrenceId\n"OccurrenceId\tx"\t5\n\n\t6\nlone\n')
+    rows = {r.OccurrenceId: (r.Locality, r.RecordedBy, r.OccurrenceRemarks)
+            for r in read_observation_export(spark, f"{tmp_path}/*.tsv").collect()}
+    assert rows == {
+        "1": ("tab\there", 'say "hi"', "plain"), "2": ('two\nlines, "q" \n\nfour', None, "x"),
+        "OccurrenceId": ("Locality", "RecordedBy", "OccurrenceRemarks"),
+        "3": ("OccurrenceId", "5\tcm\n", "OccurrenceId"), "4": ('a"b"', '"c"d', "\n"),
+        "5": (None, None, "OccurrenceId\tx"), "6": (None, None, None)}
+    (tmp_path / "c.tsv").write_text(head + '1\t"open\t\t\n')
+    with pytest.raises(Exception, match="not closed"):
+        read_observation_export(spark, f"{tmp_path}/c.tsv").collect()
+    (tmp_path / "d.tsv").write_text("Locality\nOccurrenceId\n")
+    with pytest.raises(Exception, match="no header line"):
+        read_observation_export(spark, f"{tmp_path}/d.tsv").collect()
+
+
+def test_quoted_records_over_block_borders(spark, tmp_path):
+    rng = random.Random(8)
+    rows = {}
+    for i in range(400):
+        rows[str(i)] = rng.choice(["plain", "a\tb", 'q "x" q', "l1\nl2", "\n" * 30, "long\n" * 60, '"', "x" * 200])
+    body = "".join(f'{i}\t"{v.replace(chr(34), chr(34) * 2)}"\n' if set(v) & set('\t\n"') else f"{i}\t{v}\n" for i, v in rows.items())
+    (tmp_path / "x.tsv").write_text("OccurrenceId\tOccurrenceRemarks\n" + body)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        frame = read_observation_export(spark, str(tmp_path / "x.tsv"))
+        assert frame.rdd.getNumPartitions() > 1
+        assert {r.OccurrenceId: r.OccurrenceRemarks for r in frame.collect()} == rows
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_quoted_fields_of_any_length(spark):
+    cells = ["", 'a"b', "x|y", '"', "q" * 100_000, '""' * 20_000, "é|\n", '"a"b']
+    line = "|".join('"' + c.replace('"', '""') + '"' if i % 2 else c.replace("|", "") for i, c in enumerate(cells))
+    row = spark.createDataFrame([(line,), ("a|b||",), ("",), ("|",), ('"',), ('"a|b',)], "v string").select(split_quoted(F.col("v"), "|").alias("f")).collect()
+    want = [c if i % 2 else c.replace("|", "") for i, c in enumerate(cells)]
+    assert [r.f for r in row] == [want, ["a", "b", "", ""], [""], ["", ""], ['"'], ['"a', "b"]]
+
+
 def test_bytes_windows_1252_lacks_fall_back_to_latin_1(spark, tmp_path):
     (tmp_path / "x.txt").write_bytes(b"a\x81\xe9\nb\x80\n")
     values = [r.value for r in decode_lines(read_lines(spark, str(tmp_path / "x.txt"))).collect()]

@@ -83,7 +83,7 @@ def _reports(t):
     _report_lines(t).write.partitionBy("source_file").text(raw)
     split_reports(t.spark, f"{raw}/*", out)
     year = F.regexp_extract("source_file", "y([0-9]{4})-[0-9a-f]{12}", 1)  # the year's folder with the digest of its path
-    return read_ring_records(t.spark, f"{out}/report=*/route=ring_records/folder=*").groupBy(
+    return read_ring_records(t.spark, out).groupBy(
         year.alias("year"), "record_type", "species_code").agg(
             F.count(F.lit(1)).alias("n"), F.count("weight").alias("weighed"),
             F.sum(F.col("weight").try_cast("double")).alias("weight"))

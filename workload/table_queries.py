@@ -6,6 +6,8 @@ work grows with them; the SQL states what has to come back.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from skerry.functions.cleaning import flag, iso_date, number, offset_to_utc, whole_number
@@ -20,10 +22,11 @@ from skerry.operators.selection import (
 from skerry.schemas import RING_RECORDS, add_missing, enforce_schema
 from skerry.sinks.merge import upsert, without_keys
 from skerry.sinks.tables import with_audit_columns, with_record_ids
-from skerry.sources.lines import decode_lines
+from skerry.sources.lines import decode_lines, unfold
 from skerry.sources.reports import FIELDS, parse_data_lines, route_lines
 from skerry.sources.station import parse_station_lines
-from skerry.sources.tables import parse_export_lines, run_sql
+from skerry.session import shared_folder
+from skerry.sources.tables import read_observation_export, run_sql
 from workload.registry import register
 
 # ---------------------------------------------------------------- ring reports
@@ -48,13 +51,13 @@ def _report_lines(t):
         # One capture in seven has a brood patch, too few to keep, except in 1999.
         "brood_patch": F.when((year == 1999) | (F.col("fat_score") == 1), F.lit("2")),
         "moult_score": F.when(F.col("fat_score") <= 3, F.lit("3.5")),
-        "notes": F.lit(None).cast("string"),
+        "notes": F.when(F.col("fat_score").between(2, 6), F.concat(F.lit('"a|b ""'), "age", F.lit('"""'))),
     }
     fields = [
         F.coalesce(values[FIELDS[i]], F.lit("")) if i in FIELDS else F.lit("") for i in range(35)
     ]
-    return t.captures.select(
-        F.concat(F.lit("y"), year).alias("source_file"), F.concat_ws("|", *fields).alias("value"))
+    return unfold(t.captures, [
+        F.concat(F.lit("y"), year).alias("source_file"), F.concat_ws("|", *fields).alias("value")])
 
 
 _REPORT = " ".join(f"{name}:s" for name in FIELDS.values())
@@ -68,7 +71,8 @@ _REPORT_SQL = """
                CAST(wing_length AS VARCHAR) AS wing_length, CAST(weight AS VARCHAR) AS weight,
                CAST(fat_score AS VARCHAR) AS fat_score, 'broken' AS muscle_score,
                if(year(date) = 1999 OR fat_score = 1, '2', NULL) AS brood_patch,
-               if(fat_score <= 3, '3.5', NULL) AS moult_score, CAST(NULL AS VARCHAR) AS notes
+               if(fat_score <= 3, '3.5', NULL) AS moult_score,
+               if(fat_score BETWEEN 2 AND 6, 'a|b "' || age || '"', NULL) AS notes
         FROM captures"""
 register("report_fields", f"source_file:s {_REPORT}",
          lambda t: parse_data_lines(_report_lines(t)), "captures", _REPORT_SQL)
@@ -160,7 +164,8 @@ register("station_export", "observation_time:t temperature:f temperature_quality
 
 
 def _export_lines(t):
-    """Observations as tab-separated files, one per provider; provider 2 turns the columns round."""
+    """Observations as the lines of tab-separated files, some per provider; provider 2 turns the
+    columns round. Fields have tabs, line ends and quotes; some equal the name of a column."""
     key = F.col("OccurrenceId").cast("bigint")
     day = F.date_format("StartDate", "yyyy-MM-dd")
     cells = {
@@ -175,6 +180,10 @@ def _export_lines(t):
             (key % 5 + 1).cast("int")),
         "Verified": F.element_at(
             F.array(F.lit("true"), F.lit("False"), F.lit("maybe")), (key % 3 + 1).cast("int")),
+        "RecordedBy": F.when(key % 11 == 0, "OccurrenceId").otherwise('"r"'),
+        "OccurrenceRemarks": F.element_at(
+            F.array(*[F.lit(v) for v in ('"tab\there"', '"two\n\nlines"', '"say ""hi"""', 'a"b"', '"\n"')]),
+            (key % 5 + 1).cast("int")),
     }
     names, turned = list(cells), list(reversed(cells))
 
@@ -182,24 +191,35 @@ def _export_lines(t):
         return F.concat(F.concat_ws("\t", *[cells[c] for c in order]), suffix)
 
     rows = t.observations.select(
-        F.col("DataProviderId").cast("string").alias("source_file"),
-        F.when(F.col("DataProviderId") == 2, line(turned, F.lit(""))).otherwise(
+        F.col("DataProviderId").cast("string").alias("provider"), (F.floor(key / 32) % 4).alias("piece"),
+        F.lit(1).alias("place"), F.when(F.col("DataProviderId") == 2, line(turned, F.lit(""))).otherwise(
             line(names, F.when(key % 7 == 0, "\tragged").otherwise(""))).alias("value"))
-    header = F.when(F.col("source_file") == "2", "\t".join(turned)).otherwise("\t".join(names))
-    headers = rows.select("source_file").distinct().withColumn("value", header)
+    header = F.when(F.col("provider") == "2", "\t".join(turned)).otherwise("\t".join(names))
+    headers = rows.select("provider", "piece").distinct().withColumns({"place": F.lit(0), "value": header})
     return rows.unionByName(headers)
 
 
+def _export_files(t):
+    """Those lines written to a file for each provider and piece, header first, and read back."""
+    folder = f"{shared_folder(t.spark).rstrip('/')}/exports-{uuid.uuid4().hex}"
+    by = ["provider", "piece"]
+    _export_lines(t).repartition(*by).sortWithinPartitions(*by, "place").drop("place").write.partitionBy(*by).text(folder)
+    return read_observation_export(t.spark, folder)
+
+
 register("observation_export",
          "OccurrenceId:s StartDate:t EndDate:t DecimalLatitude:f DyntaxaTaxonId:i Locality:s "
-         "Verified:b Municipality:s",
-         lambda t: parse_export_lines(_export_lines(t)), "observations", """
+         "Verified:b Municipality:s RecordedBy:s OccurrenceRemarks:s",
+         _export_files, "observations", """
         SELECT "OccurrenceId", date_trunc('day', "StartDate") + INTERVAL 270 MINUTE AS "StartDate",
                if(k % 2 = 0, date_trunc('day', "StartDate") + INTERVAL 390 MINUTE, NULL)
                    AS "EndDate",
                "DecimalLatitude", if(k % 5 = 0, NULL, "DyntaxaTaxonId") AS "DyntaxaTaxonId",
                [NULL, NULL, NULL, 'Ö', 'N'][k % 5 + 1] AS "Locality",
-               [true, false, NULL][k % 3 + 1] AS "Verified", NULL AS "Municipality"
+               [true, false, NULL][k % 3 + 1] AS "Verified", NULL AS "Municipality",
+               if(k % 11 = 0, 'OccurrenceId', 'r') AS "RecordedBy",
+               ['tab' || chr(9) || 'here', 'two' || chr(10) || chr(10) || 'lines', 'say "hi"', 'a"b"',
+                chr(10)][k % 5 + 1] AS "OccurrenceRemarks"
         FROM (SELECT *, CAST("OccurrenceId" AS BIGINT) AS k FROM observations)""")
 
 
