@@ -36,12 +36,12 @@ def refresh_statistics(spark: SparkSession, table: str) -> None:
     spark.sql(STATISTICS.format(table))
 
 
-def swap_table(df: DataFrame, table: str) -> None:
+def swap_table(df: DataFrame, table: str, partition_by: Sequence[str] = ()) -> None:
     """Replace a table with a DataFrame that may read it: write beside it, then rename."""
     spark = df.sparkSession
     staged = f"{table}__next"
     spark.sql(f"DROP TABLE IF EXISTS {staged}")
-    df.write.saveAsTable(staged)
+    save_table(df, staged, "fail", partition_by)
     before = f"{table}__before"
     spark.sql(f"DROP TABLE IF EXISTS {before}")
     if spark.catalog.tableExists(table):
