@@ -84,6 +84,23 @@ class Tables:
         """The backup station."""
         return self._weather("error")
 
+    def over_the_year(self, df: DataFrame, on: str) -> DataFrame:
+        """The days of one month set 13 days apart, so that they cover months and seasons."""
+        ahead = F.make_dt_interval(days=F.dayofmonth(on) * 12)
+        return df.withColumn(on, (F.col(on) + ahead).cast(df.schema[on].dataType))
+
+    @property
+    def weather_a_year(self) -> DataFrame:
+        return self.over_the_year(self.weather_a, "observation_time")
+
+    @property
+    def weather_b_year(self) -> DataFrame:
+        return self.over_the_year(self.weather_b, "observation_time")
+
+    @property
+    def captures_ev_year(self) -> DataFrame:
+        return self.over_the_year(self.captures_ev, "date")
+
     @property
     def weather_long(self) -> DataFrame:
         """weather_a as (time, parameter, value, priority), odd hours again at priority 2."""
@@ -153,6 +170,14 @@ SQL_VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         FROM events WHERE event_type IN ('click', 'purchase', 'signup')"""),
     "weather_a": ((), _weather_sql("view", "CASE WHEN count(*) > 1 THEN sum(value) END")),
     "weather_b": ((), _weather_sql("error", "sum(value)")),
+    "weather_a_year": (("weather_a",), """
+        SELECT * REPLACE (observation_time + to_days(CAST(day(observation_time) * 12 AS INTEGER)) AS observation_time)
+        FROM weather_a"""),
+    "weather_b_year": (("weather_b",), """
+        SELECT * REPLACE (observation_time + to_days(CAST(day(observation_time) * 12 AS INTEGER)) AS observation_time)
+        FROM weather_b"""),
+    "captures_ev_year": (("captures_ev",), """
+        SELECT * REPLACE (CAST(date + to_days(CAST(day(date) * 12 AS INTEGER)) AS DATE) AS date) FROM captures_ev"""),
     "weather_long": (("weather_a",), f"""
         SELECT *, 1 AS priority FROM ({_LONG})
         UNION ALL

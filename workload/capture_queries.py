@@ -520,14 +520,12 @@ register("yearly_description",
                quantile_cont(c, 0.25) AS q25, quantile_cont(c, 0.5) AS median,
                quantile_cont(c, 0.75) AS q75, max(c) AS max
         FROM (SELECT CAST(count(*) AS DOUBLE) AS c FROM captures GROUP BY year(date))""")
+_CAPTURE = "date time ring_number species_code swedish_name scientific_name age age_code ringer weight wing_length fat_score".split()
 register("column_profile", "column:s non_null:i smallest:s largest:s",
-         lambda t: overview.column_profile(
-             t.captures, ["date", "ring_number", "species_code", "wing_length", "age"]),
-         "captures", " UNION ALL ".join(
+         lambda t: overview.column_profile(t.captures), "captures", " UNION ALL ".join(
              f"SELECT '{c}' AS column, count({c}) AS non_null, "
              f"CAST(min({c}) AS VARCHAR) AS smallest, CAST(max({c}) AS VARCHAR) AS largest "
-             "FROM captures" for c in
-             ("date", "ring_number", "species_code", "wing_length", "age")))
+             "FROM captures" for c in _CAPTURE))
 
 # ---------------------------------------------------------------- joins
 

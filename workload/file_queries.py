@@ -6,12 +6,16 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from skerry.schemas import WEATHER_MEASURES
 from skerry.session import shared_folder
+from skerry.sinks.loads import (
+    create_stored, load_observations, read_stored, replace_window_stored, upsert_stored,
+)
 from skerry.sinks.tables import export_csv, export_formats, export_parquet, save_table
 from skerry.sources.reports import read_ring_records, split_reports
 from skerry.sources.tables import read_captures_csv, scan_table
 from workload.registry import register
-from workload.table_queries import _report_lines
+from workload.table_queries import _batch, _report_lines
 
 _COLUMNS = "date time ring_number species_code age weight wing_length fat_score"
 _ROWS = "date:d time:f ring_number:s species_code:s age:s weight:f wing_length:i fat_score:i"
@@ -74,6 +78,55 @@ register("table_sink", "species_code:s age:s n:i weight:f", _table, "captures",
         SELECT species_code, age, 2 * count(*) AS n, 2 * sum(weight) AS weight
         FROM captures WHERE age IN ('A', 'N', 'R') GROUP BY ALL""")
 
+# ---------------------------------------------------------------- stored loads
+
+
+def _upserted(t):
+    table = f"observations_{uuid.uuid4().hex}"
+    create_stored(t.observations, table, "StartDate")
+    upsert_stored(_batch(t), table, order=[F.col("price")])
+    return read_stored(t.spark, table)
+
+
+def _window_replaced(t):
+    """Weather of a year by month; the batch covers a part of two months and those between."""
+    table = f"weather_{uuid.uuid4().hex}"
+    create_stored(t.weather_a_year.select("observation_time", *WEATHER_MEASURES), table, "observation_time")
+    replace_window_stored(t.weather_b_year.select("observation_time", *WEATHER_MEASURES).where(
+        F.col("observation_time").between("2024-04-10", "2024-08-20") & (F.hour("observation_time") % 2 == 0)), table)
+    return read_stored(t.spark, table)
+
+
+def _loaded(t):
+    """Observations in a table that lacks most columns by now; then every fourth comes anew, whole."""
+    table = f"observations_{uuid.uuid4().hex}"
+    create_stored(t.observations.select("OccurrenceId", "StartDate"), table, "StartDate")
+    load_observations(t.observations.where(F.col("OccurrenceId").cast("bigint") % 4 == 0), table)
+    return read_stored(t.spark, table).withColumn("fetched", F.col("fetched_at").isNotNull())
+
+
+register("stored_upsert", "OccurrenceId:s StartDate:t DataProviderId:i price:f", _upserted, "observations", """
+        SELECT * REPLACE (price + if(CAST("OccurrenceId" AS BIGINT) % 4 = 0, 1, 0) AS price)
+        FROM observations
+        UNION ALL
+        SELECT * REPLACE ('n' || "OccurrenceId" AS "OccurrenceId")
+        FROM observations WHERE CAST("OccurrenceId" AS BIGINT) % 10 = 0""")
+_HOURLY = ", ".join(WEATHER_MEASURES)
+register("stored_replace_window", "observation_time:t " + " ".join(f"{m}:f" for m in WEATHER_MEASURES),
+         _window_replaced, "weather_a_year weather_b_year", f"""
+        WITH batch AS (SELECT observation_time, {_HOURLY} FROM weather_b_year
+                       WHERE observation_time BETWEEN TIMESTAMP '2024-04-10' AND TIMESTAMP '2024-08-20'
+                         AND extract(hour FROM observation_time) % 2 = 0)
+        SELECT observation_time, {_HOURLY} FROM weather_a_year
+        WHERE observation_time < (SELECT min(observation_time) FROM batch)
+           OR observation_time > (SELECT max(observation_time) FROM batch)
+        UNION ALL SELECT * FROM batch""")
+register("stored_schema_evolution", "OccurrenceId:s StartDate:t DyntaxaTaxonId:i DecimalLatitude:f Locality:s fetched:b",
+         _loaded, "observations", """
+        SELECT "OccurrenceId", "StartDate", if(k % 4 = 0, "DyntaxaTaxonId", NULL) AS "DyntaxaTaxonId",
+               if(k % 4 = 0, "DecimalLatitude", NULL) AS "DecimalLatitude", NULL AS "Locality", k % 4 = 0 AS fetched
+        FROM (SELECT *, CAST("OccurrenceId" AS BIGINT) AS k FROM observations)""")
+
 # ---------------------------------------------------------------- report files
 
 

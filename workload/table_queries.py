@@ -24,7 +24,7 @@ from skerry.sinks.merge import upsert, without_keys
 from skerry.sinks.tables import with_audit_columns, with_record_ids
 from skerry.sources.lines import decode_lines, unfold
 from skerry.sources.reports import FIELDS, parse_data_lines, route_lines
-from skerry.sources.station import parse_station_lines
+from skerry.sources.station import read_station_export
 from skerry.session import shared_folder
 from skerry.sources.tables import read_observation_export, run_sql
 from workload.registry import register
@@ -145,19 +145,30 @@ register("collate_reports",
 # ---------------------------------------------------------------- station and public exports
 
 
-def _station_lines(t):
+def _station_files(t):
+    """Readings as a file for each hour of the day, read back. What is before the header, a line
+    that looks like a reading among it, is no reading; another header further down changes nothing."""
+    folder = f"{shared_folder(t.spark).rstrip('/')}/stations-{uuid.uuid4().hex}"
+    hour = F.date_format("observation_time", "HH").alias("file")
     reading = F.concat_ws(
         ";", F.date_format("observation_time", "yyyy-MM-dd"),
         F.date_format("observation_time", "HH:mm:ss"),
         F.when(F.col("humidity") == 2, "-").otherwise(F.col("temperature").cast("string")),
         F.when(F.col("humidity") > 1, F.col("temperature_quality")))
-    comment = F.concat(F.lit("Station;"), F.date_format("observation_time", "HH"), F.lit(";12;G"))
-    header = F.lit("Datum;Tid (UTC);Lufttemperatur;Kvalitet")
-    return t.weather_a.select(F.explode(F.array(comment, header, reading)).alias("value"))
+    header = "Datum;Tid (UTC);Lufttemperatur;Kvalitet"
+    above = ["Stationsnamn;Nummer", "Station;12", "2001-01-01;00:00:00;99.9;G", "", header]
+    lines = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(v).alias("value")) for i, v in enumerate(above)])
+    readings = t.weather_a.select(hour, F.dayofmonth("observation_time").alias("day"), reading.alias("value")).select(
+        "file", (F.col("day") + 9).alias("place"), "value")
+    heads = readings.select("file").distinct().select("file", F.inline(lines))
+    again = readings.select("file").distinct().select("file", F.lit(20).alias("place"), F.lit(header).alias("value"))
+    readings.unionByName(heads).unionByName(again).repartition("file").sortWithinPartitions(
+        "file", "place").drop("place").write.partitionBy("file").text(folder)
+    return read_station_export(t.spark, folder, "temperature")
 
 
 register("station_export", "observation_time:t temperature:f temperature_quality:s",
-         lambda t: parse_station_lines(_station_lines(t), "temperature"), "weather_a", """
+         _station_files, "weather_a", """
         SELECT observation_time, if(humidity = 2, NULL, temperature) AS temperature,
                if(humidity > 1, temperature_quality, NULL) AS temperature_quality
         FROM weather_a""")

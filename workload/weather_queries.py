@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from types import SimpleNamespace
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skerry.functions import bins
@@ -42,10 +46,10 @@ _SUMMARY = ("mean_temperature:f min_temperature:f max_temperature:f mean_wind_sp
             "mean_visibility:f mean_cloud_cover:f")
 for unit, part in (("daily", "day"), ("weekly", "week"), ("monthly", "month")):
     register(f"weather_{unit}", f"period:d {_SUMMARY} n_obs:i",
-             lambda t, unit=unit: weather.weather_by_period(t.weather_a, aggregation=unit),
-             "weather_a", f"""
+             lambda t, unit=unit: weather.weather_by_period(t.weather_a_year, aggregation=unit),
+             "weather_a_year", f"""
         SELECT date_trunc('{part}', observation_time) AS period, {_MEANS}, count(*) AS n_obs
-        FROM weather_a GROUP BY 1""")
+        FROM weather_a_year GROUP BY 1""")
 
 _SPARE = ("precipitation", "pressure", "visibility")
 _FILLED_SQL = """
@@ -70,10 +74,20 @@ def _daily(t, *dates):
 
 
 register("daily_weather_summary", _DAILY, _daily, _BOTH, _DAILY_SQL)
+
+# A backup station that reports on every other day only, so that both halves have days.
+_HALF = "(SELECT * FROM weather_b WHERE day(observation_time) % 2 = 1)"
+
+
+def _half_backed_up(t):
+    return weather.daily_weather_summary(t.weather_a, t.weather_b.where(F.dayofmonth("observation_time") % 2 == 1))
+
+
 for source, flag in (("backup", True), ("primary", False)):
     register(f"weather_split_{source}", _DAILY,
-             lambda t, flag=flag: weather.weather_split(_daily(t), flag), _BOTH,
-             f"SELECT * FROM ({_DAILY_SQL}) WHERE backup_gap_fill_used = {flag}")
+             lambda t, flag=flag: weather.weather_split(_half_backed_up(t), flag), _BOTH,
+             f"SELECT * FROM ({_DAILY_SQL.replace('JOIN weather_b', f'JOIN {_HALF}')}) "
+             f"WHERE coalesce(backup_gap_fill_used, false) = {flag}")
 register("hour_window", "hour:i n:i",
          lambda t: in_hours(t.weather_a).groupBy(F.hour("observation_time").alias("hour")).agg(
              F.count(F.lit(1)).alias("n")), "weather_a", """
@@ -110,7 +124,7 @@ register("null_audit",
              f"count(*) - count({c}) AS {c}_null" for c in _SPARE)
          + ", min(observation_time) AS min_date, max(observation_time) AS max_date FROM weather_a")
 
-# Archive and latest readings of one parameter; the latest win.
+# Archive and latest readings of each parameter; the latest win.
 _PICKED_SQL = """
         SELECT observation_time, parameter, value FROM weather_long
         QUALIFY row_number() OVER (PARTITION BY observation_time, parameter
@@ -128,9 +142,8 @@ def _one_parameter(t, name: str):
 
 
 register("latest_wins", "observation_time:t parameter:s value:f",
-         lambda t: since(_one_parameter(t, "temperature"), "2024-01-02"), "weather_long",
-         f"SELECT * FROM ({_PICKED_SQL}) WHERE parameter = 'temperature' "
-         "AND observation_time >= TIMESTAMP '2024-01-02'")
+         lambda t: since(reduce(DataFrame.unionByName, [_one_parameter(t, m) for m in WEATHER_MEASURES]), "2024-01-02"),
+         "weather_long", f"SELECT * FROM ({_PICKED_SQL}) WHERE observation_time >= TIMESTAMP '2024-01-02'")
 register("wide_from_long", f"observation_time:t {_MEASURES}",
          lambda t: widen(
              t.weather_long.groupBy("observation_time", "parameter").agg(
@@ -270,10 +283,18 @@ register("trend_weekly", _FIT,
          lambda t: correlation.ols_trend(
              correlation.weekly_all(_daily_all(t)), min_points=3), _ALL,
          _trend_sql(_WEEKLY_SQL, "captures", correlation.TREND_VARIABLES, 3))
+
+
+def _over_the_year(t):
+    return SimpleNamespace(captures_ev=t.captures_ev_year, weather_a=t.weather_a_year, weather_b=t.weather_b_year)
+
+
+_YEAR_SQL = reduce(lambda sql, view: sql.replace(view, f"{view}_year"), _ALL.split(), _DAILY_ALL_SQL)
 register("trend_by_season", f"season:s {_FIT}",
          lambda t: correlation.ols_trend(
-             _daily_all(t), variables=["mean_visibility"], by=["season"]), _ALL,
-         _trend_sql(_DAILY_ALL_SQL, "captures", ["mean_visibility"], 5, "season"))
+             _daily_all(_over_the_year(t)), variables=["mean_visibility", "mean_temperature"], by=["season"]),
+         " ".join(f"{view}_year" for view in _ALL.split()),
+         _trend_sql(_YEAR_SQL, "captures", ["mean_visibility", "mean_temperature"], 5, "season"))
 
 
 def _cut_sql(value: str, edges, labels) -> str:
