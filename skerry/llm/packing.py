@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skerry.llm.text import pieces, text_slices
-from skerry.llm.tokens import PartEncoder, public_encoder
+from skerry.llm.tokens import FlatEncoder, public_library_encoder
 
 WINDOW = 1024
 PIECES = ("doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
@@ -61,7 +61,7 @@ class SquaresPacker:
 
 
 def pack_documents(docs: DataFrame, window: int = WINDOW, end_id: int = 0,
-                   encoder: Callable[[], PartEncoder] = public_encoder) -> DataFrame:
+                   encoder: Callable[[], FlatEncoder] = public_library_encoder) -> DataFrame:
     """Pieces of the texts of (doc_id, text), each with its window and its place there.
 
     Each document gets `end_id` after its ids; whole windows are cut off it and the rest is placed

@@ -69,7 +69,7 @@ def patterns(text: str) -> list[tuple[int, int, str]]:
             spans.append((start, end, "email"))
         at = text.find("@", max(at + 1, end))
     for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+        if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m.group().split(".")):
             spans.append((*m.span(), "ip"))
     for m in CARD.finditer(text):
         digits = m.group().replace(" ", "").replace("-", "")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skerry.llm.text import SLICE_BYTES, pieces, shared_folder, text_slices
-from skerry.llm.tokens import PartEncoder, public_encoder
+from skerry.llm.tokens import FlatEncoder, public_library_encoder
 
 #: Fixed by the format: ids in a word for selectors 0 to 13; each takes 60 // count bits.
 COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 1, 0], dtype=np.int64)
@@ -95,7 +95,7 @@ def unpack_block(words: np.ndarray, block_words: np.ndarray, block: int) -> np.n
 
 
 def write_ids(docs: DataFrame, folder: str, end_id: int = 2, slice_bytes: int = SLICE_BYTES,
-              encoder: Callable[[], PartEncoder] = public_encoder) -> None:
+              encoder: Callable[[], FlatEncoder] = public_library_encoder) -> None:
     """Encode the texts of (doc_id, text), append `end_id` to each, and write segments to `folder`.
 
     One file per range of doc_id; segments are in ascending doc_id order, null first. A null or

@@ -10,9 +10,10 @@ from __future__ import annotations
 import array
 import base64
 import os
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Sequence
 from functools import lru_cache
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -72,6 +73,69 @@ class PartEncoder:
         return ids, np.diff(before[offsets])
 
 
+class FlatEncoder:
+    """As PartEncoder, with the ids of all remembered parts side by side in one array.
+
+    Texts that hold one of the strings `whole` are encoded whole, like those with a space before
+    white space. When more than `remembered` parts are known, all are forgotten."""
+
+    def __init__(self, encode_all: Callable[[list[str]], list[list[int]]], whole: Sequence[str] = (), remembered: int = REMEMBERED):
+        self.encode_all, self.remembered = encode_all, remembered
+        self.uncut = "|".join([UNCUT, *[re.escape(w) for w in whole]])
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def _encoded(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        lists = self.encode_all(strings)
+        lengths = np.fromiter(map(len, lists), np.int64, len(lists))
+        return np.fromiter(chain.from_iterable(lists), np.uint32, int(lengths.sum())), lengths
+
+    def _numbers(self, parts: list[str]) -> np.ndarray:
+        """The place of each part among the known; unknown ones are encoded and join them."""
+        if len(self.known) > self.remembered:
+            self._forget()
+        get = self.known.get
+        numbers = np.fromiter((get(p, -1) for p in parts), np.int64, len(parts))
+        new = np.flatnonzero(numbers < 0)
+        if len(new):
+            fresh, first = [parts[i] for i in new.tolist()], len(self.known)
+            ids, lengths = self._encoded(fresh)
+            self.flat, self.lengths = np.concatenate([self.flat, ids]), np.concatenate([self.lengths, lengths])
+            numbers[new] = np.arange(first, first + len(fresh))
+            self.known.update(zip(fresh, range(first, first + len(fresh)), strict=True))
+        return numbers
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        texts = pc.fill_null(texts, "")
+        uncut = np.asarray(pc.match_substring_regex(texts, self.uncut), dtype=bool)
+        lists = pc.split_pattern(pc.if_else(pa.array(uncut), "", texts), " ")
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        flat = lists.values.slice(offsets[0], offsets[-1] - offsets[0])
+        offsets = offsets - offsets[0]
+        openings = flat.take(pa.array(offsets[:-1])).to_pylist()  # no space before; these and whole texts rarely recur
+        for i in np.flatnonzero(uncut).tolist():
+            openings[i] = texts[i].as_py()
+        coded = flat.dictionary_encode()
+        codes = coded.indices.to_numpy().astype(np.int64)
+        inner = np.ones(len(codes), dtype=bool)
+        inner[offsets[:-1]] = False
+        used = np.zeros(len(coded.dictionary), dtype=bool)
+        used[codes[inner]] = True
+        place = np.zeros(len(used), np.int64)
+        place[used] = self._numbers([" " + p for p in coded.dictionary.filter(pa.array(used)).to_pylist()])
+        opening_ids, opening_lengths = self._encoded(openings)
+        codes = place[codes]
+        codes[offsets[:-1]] = len(self.lengths) + np.arange(len(openings))
+        lengths, values = np.concatenate([self.lengths, opening_lengths]), np.concatenate([self.flat, opening_ids])
+        each = lengths[codes]
+        ids = values[ragged((np.cumsum(lengths) - lengths)[codes], each)]
+        before = np.concatenate([[0], np.cumsum(each)])
+        return ids, np.diff(before[offsets])
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as file:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
@@ -103,7 +167,35 @@ def vocabulary_encoder(vocabulary: str, ranks: str, pattern: str) -> PartEncoder
 
 
 def public_encoder() -> PartEncoder:
-    """The 50k byte-level vocabulary of the public tokenizers."""
+    """The 50k byte-level vocabulary of the public tokenizers; strings of added tokens are text like other."""
     import public_tokenizers as public
 
     return vocabulary_encoder(public.path("byte_bpe_50k.json"), public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
+
+
+@lru_cache(maxsize=2)
+def library_encoder(vocabulary: str, ranks: str, pattern: str) -> FlatEncoder:
+    """By the tokenizers file `vocabulary` as the library encodes without special tokens around a
+    text: strings of added tokens inside a text are those tokens, and texts with one are encoded
+    whole by the library. Other parts in Latin script go through the rank file `ranks`."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=read_ranks(ranks), special_tokens={})
+    slow = Tokenizer.from_file(vocabulary)
+    added = [token.content for token in slow.get_added_tokens_decoder().values()]
+
+    def encode(text: str) -> list[int]:
+        if (text.isascii() or max(text) < "ɐ") and not any(a in text for a in added):
+            return fast.encode_ordinary(text)
+        return slow.encode(text, add_special_tokens=False).ids
+
+    return FlatEncoder(lambda parts: [encode(p) for p in parts], added)
+
+
+def public_library_encoder() -> FlatEncoder:
+    """The 50k byte-level vocabulary of the public tokenizers, with its added tokens."""
+    import public_tokenizers as public
+
+    return library_encoder(public.path("byte_bpe_50k.json"), public.path("byte_bpe_50k.tiktoken"), public.PATTERN)

@@ -46,7 +46,6 @@ def token_ids():
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     return lambda text: tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
@@ -424,3 +423,38 @@ def test_replay_in_blocks_equals_matches_alone(monkeypatch):
     ids = replay.encode(matches)
     assert ids == [replay.alone(m) for m in matches]
     assert replay.encode(matches) == ids and replay.encode([]) == []
+
+
+def test_ids_with_added_tokens_are_the_librarys():
+    import public_tokenizers as public
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from skerry.llm.tokens import public_library_encoder
+
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y z", " <|endoftext|>  ", "<|endoftext", "plain text", None, "",
+             "中文 <|endoftext|>字", "a  b", "tail ", "new\nline <|endoftext|>\n", "é plain é"] * 3
+    tokenizer = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    want = [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    encoder = public_library_encoder()
+    for _ in range(2):
+        ids, lengths = encoder.ids(pa.array(texts))
+        assert [list(x) for x in np.split(ids, np.cumsum(lengths)[:-1])] == want
+        encoder.remembered = 0  # everything is forgotten before the next
+    encoder.remembered = 250_000
+
+
+def test_parts_of_addresses_may_be_long():
+    zeros = "0" * 6000
+    assert [s for s in pii.patterns(f"{zeros}.1.1.1 {zeros}7.1.1.1 {zeros}256.1.1.1 1.1.1.{zeros}") if s[2] == "ip"] == [
+        (0, 6006, "ip"), (6007, 12014, "ip"), (18025, 24031, "ip")]
+
+
+def test_long_hosts_and_any_extra_column(spark):
+    long = "a." * 20_000 + "example.org"
+    pages = spark.createDataFrame(
+        [(1, f"http://{long}/es/x", 1, 2, 3), (2, f"http://{'b.' * 30_000}net/", 1, 2, 3), (3, "http://org/", 1, 2, 3)],
+        "page_id long, url string, best int, _slot int, digest int")
+    rules = spark.createDataFrame([("org", "/", "allow"), ("example.org", "/es/", "block")], "host string, path string, verdict string")
+    found = {r.page_id: (r.rule, r.verdict, r.best) for r in urls.judge(pages.drop("_slot"), rules).collect()}
+    assert found == {1: ("example.org/es/", "block", 1), 2: (None, "allow", 1), 3: ("org/", "allow", 1)}
