@@ -92,8 +92,9 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, size: in
     linked with, and compared with the bundle's full sets there; a pair is never a row, and of the
     links found one for each component is kept. Pairs within a component cannot change it.
 
-    Without words or text: n_shingles 0, linked with nothing. Repeated rows are linked with each
-    other and returned each; rows with a null doc_id take no part and are returned with a null component, kept;
+    Without words or text: n_shingles 0, linked with nothing. Rows of one doc_id are one document: they
+    are returned each, linked with each other and, where their texts differ, with the partners of all of them. So a
+    class's id may name several sets, which are compared one by one. Rows with a null doc_id take no part and are returned with a null component, kept;
     other columns are left out; an empty table gives no rows."""
     keys = chunk_keys(size, most, errors)
 
@@ -144,19 +145,19 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, size: in
                 yield pa.RecordBatch.from_pydict({"print": pa.array([xxhash.xxh3_128_digest(s) for s in own], pa.binary()),
                                                   "n": pa.array(np.diff(offsets), pa.int64()), "set": pa.array(own, pa.binary())})
 
-    # A class's doc_id may belong to rows with other texts too: the text with its print counts.
+    # An id has a set for each of its classes, and may belong to rows of other classes too.
     wanted = classes.join(ids, "id", "left_semi").select("print", "id")
     sets = stored(texts.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
                   .mapInArrow(full_sets, "print binary, n long, set binary").join(wanted, "print")
-                  .groupBy("id").agg(F.first("n").alias("n"), F.first("set").alias("set")), "sets")
+                  .groupBy("print").agg(F.first("id").alias("id"), F.first("n").alias("n"), F.first("set").alias("set")), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose sets are similar enough."""
-        sized = sets.select("id", "n")
-        some = skew_safe_join(skew_safe_join(pairs, sized.toDF("a", "na"), ["a"]), sized.toDF("b", "nb"), ["b"])
-        some = some.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b")
-        some = skew_safe_join(some, sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), ["b"])
-        some = skew_safe_join(some, sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), ["a"])
+        sized = sets.select("id", "print", "n")
+        some = skew_safe_join(skew_safe_join(pairs, sized.toDF("a", "print_a", "na"), ["a"]), sized.toDF("b", "print_b", "nb"), ["b"])
+        some = some.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b", "print_a", "print_b")
+        some = skew_safe_join(some, sets.select(F.col("print").alias("print_b"), F.col("set").alias("set_b")), ["print_b"])
+        some = skew_safe_join(some, sets.select(F.col("print").alias("print_a"), F.col("set").alias("set_a")), ["print_a"])
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -170,7 +171,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, size: in
         return some.select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long")
 
     pairs = met.where("id <> least").groupBy("id").agg(F.min("least").alias("least")).select(F.col("least").alias("a"), F.col("id").alias("b"))
-    links = stored(confirmed(pairs), "confirmed")
+    links = stored(confirmed(pairs).unionByName(_of_one_document(rows, classes)), "confirmed")
     while True:
         labels = components(links)
         placed = skew_safe_join(met.select("key", "id"), labels, ["id"], "left").select(
@@ -194,6 +195,16 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, size: in
                         F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def _of_one_document(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a < b) between the classes that one doc_id has rows in: of the least with each other one."""
+    own = rows.where("print IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "print")
+    several = own.groupBy("doc_id").agg(F.min("print").alias("x"), F.max("print").alias("y")).where("x <> y").select("doc_id")
+    held = skew_safe_join(own.join(several, "doc_id", "left_semi").distinct(), classes.select("print", "id"), ["print"])
+    held = held.select("doc_id", "id").distinct()
+    least = held.groupBy("doc_id").agg(F.min("id").alias("a"))
+    return skew_safe_join(held, least, ["doc_id"]).where("a < id").select("a", F.col("id").alias("b")).distinct()
+
+
 def _best(placed: DataFrame) -> DataFrame:
     """For each component a pair (a < b) with the least component that it shares a key with."""
     pair = F.struct(F.col("least.component").alias("to"), F.col("least.id").alias("x"), F.col("id").alias("y"))

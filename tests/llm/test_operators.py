@@ -232,6 +232,19 @@ def test_near_duplicates(spark, rows, empty):
     assert neardup.near_duplicates(empty).isEmpty()
 
 
+def test_near_duplicates_of_a_document_with_several_texts(spark):
+    """Doc 5 has three texts, with a near copy of each; the copy of one of them has a copy of a smaller id."""
+    whole = [[f"t{t}w{i}" for i in range(80)] for t in range(3)]
+    near = [" ".join([*own[:-1], "other"]) for own in whole]
+    rows = [(5, " ".join(own)) for own in whole] + list(zip((9, 12, 14), near, strict=True))
+    rows += [(2, near[1]), (20, "alone"), (21, None), (7, " ".join(whole[2])), (30, "x"), (30, "y")]
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(found) == len(rows)
+    wanted = {**{i: 2 for i in (2, 5, 7, 9, 12, 14)}, 20: 20, 21: 21, 30: 30}
+    assert {(r.doc_id, r.component_id) for r in found} == set(wanted.items())
+    assert all(r.kept == (r.doc_id == r.component_id) for r in found)
+
+
 def test_chunk_keys_leave_no_pair_out():
     keys = neardup.chunk_keys(96, 38, 1)
     rng = np.random.default_rng(2)
