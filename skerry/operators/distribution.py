@@ -2,11 +2,11 @@
 
 ``percentile`` keeps one group's distinct values in one task's memory, which is fine for a
 bounded domain such as the day of the year and wrong for a measurement of a group that owns a
-third of the data. Here values are first counted, so copies collapse map-side; the distinct
-values of a group are then spread over *slices* (value ranges of about 1 % relative width, each
-cut again into equal parts between its smallest and largest value, so that tightly placed values
-spread too), and a slice knows from a small table of slice totals how many rows of its group lie
-below it. Ranks come out exact, and the work of a group is shared by as many tasks as it has slices.
+third of the data. Here values are first counted, so copies collapse map-side. A sample of a
+group's distinct values, taken by hash and so the same in every retry, cuts them into *slices* of
+about 1/256 of the distinct values each, however they are placed. Totals of the slices tell in
+which of them a rank falls; only the values of those slices are sorted. So ranks come out exact,
+and most values are neither shuffled a second time nor sorted.
 """
 
 from __future__ import annotations
@@ -21,15 +21,10 @@ from skerry.schemas import column
 
 QUARTILES = {"q25": 0.25, "median": 0.5, "q75": 0.75}
 
-_SLICES_PER_DOUBLING = 64
-_PARTS_PER_SLICE = 128
-
-
-def _slice(value: Column) -> Column:
-    """A whole number that never decreases as ``value`` grows."""
-    steps = F.log1p(F.abs(value)) * (_SLICES_PER_DOUBLING / 0.6931471805599453)
-    # NaN ranks above all numbers: it shares the last slice with infinity, behind it.
-    return F.when(F.isnan(value.cast("double")), F.lit((1 << 63) - 1)).otherwise(F.floor(F.signum(value) * steps))
+#: Distinct values of a group that are sampled at most; each 16th of them ends a slice, and the
+#: slices are looked up by 16 at a time.
+_SAMPLES = 4096
+_STEP = 16
 
 
 def _ranks(method: str, p: float, n: Column) -> list[Column]:
@@ -91,30 +86,34 @@ def _group_stats(
     counts: DataFrame, quantiles: Mapping[str, object], method: str, bounded: bool
 ) -> DataFrame:
     """The statistics of :func:`distribution` per ``_g``."""
-    ranked = _ranked_whole(counts) if bounded else _ranked_by_slice(counts)
     n, v, c = F.col("_n"), F.col("_v"), F.col("_c")
+    specs = {name: spec if isinstance(spec, tuple) else (spec, method) for name, spec in quantiles.items()}
+    ranks = [rank for p, how in specs.values() for rank in _ranks(how, p, n)]
+    ranked = _ranked_whole(counts) if bounded else _ranked_by_slice(counts, ranks)
 
     def at(rank: Column) -> Column:
         return F.max(F.when((F.col("_upto") >= rank) & (F.col("_upto") - c < rank), v))
 
     picks = {}
-    for name, spec in quantiles.items():
-        p, how = spec if isinstance(spec, tuple) else (spec, method)
+    for name, (p, how) in specs.items():
         found = [at(rank) for rank in _ranks(how, p, n)]
         if len(found) == 1:
             picks[name] = found[0]
         else:
             share = F.max((n - 1) * F.lit(p) - F.floor((n - 1) * F.lit(p)))
             picks[name] = found[0] + (found[1] - found[0]) * share
-    deviation = F.sum(c * (v - F.col("_mean")) * (v - F.col("_mean")))
     size = F.max("_n")
+    if bounded:
+        squares, low, high = F.sum(c * (v - F.col("_mean")) * (v - F.col("_mean"))), F.min("_v"), F.max("_v")
+    else:
+        squares, low, high = F.max("_squares"), F.max("_low"), F.max("_high")
     return ranked.groupBy("_g").agg(
         size.alias("n"),
         F.max("_mean").alias("mean"),
-        F.when(size > 1, F.sqrt(deviation / (size - 1))).alias("std"),
-        F.min("_v").alias("min"),
+        F.when(size > 1, F.sqrt(squares / (size - 1))).alias("std"),
+        low.alias("min"),
         *[picked.alias(name) for name, picked in picks.items()],
-        F.max("_v").alias("max"),
+        high.alias("max"),
     )
 
 
@@ -129,35 +128,60 @@ def _ranked_whole(counts: DataFrame) -> DataFrame:
     )
 
 
+def _edges(counts: DataFrame) -> DataFrame:
+    """Per ``_g``: ``_edges``, the sorted values that end a slice, 256 at most, and ``_middle``, a value
+    of the sample's middle. Of each of 4,096 hash buckets the distinct value of the smallest hash
+    is in the sample, so that it is spread evenly over the distinct values."""
+    place = F.xxhash64("_v")
+    # NaN sorts behind all numbers: it lies in the last slice and ends none.
+    sample = counts.where(~F.isnan("_v")).groupBy(
+        "_g", F.pmod(place, F.lit(_SAMPLES)).alias("_bucket")).agg(F.min_by("_v", place).alias("_v"))
+    values = sample.groupBy("_g").agg(F.sort_array(F.collect_list("_v")).alias("_values"))
+    return values.select(
+        "_g", F.filter("_values", lambda _, i: i % _STEP == _STEP - 1).alias("_edges"),
+        F.get("_values", F.floor(F.size("_values") / 2).cast("int")).alias("_middle"))
+
+
 def _sliced(counts: DataFrame) -> DataFrame:
-    """Counts with their slice, ``_s`` and ``_t``. Neither number ever decreases as the value
-    grows, so slices are in order by the first, then the second."""
-    wide = counts.withColumn("_s", _slice(F.col("_v")))
-    edges = wide.groupBy("_g", "_s").agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"))
-    reach = F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0))
-    part = F.floor((F.col("_v") - F.col("_low")) / reach * _PARTS_PER_SLICE)
-    return skew_safe_join(wide, edges, ["_g", "_s"]).select(
-        "_g", "_v", "_c", "_s", F.coalesce(part, F.lit(0)).alias("_t"))
-
-
-def _ranked_by_slice(counts: DataFrame) -> DataFrame:
-    """As :func:`_ranked_whole`, with a group's values shared out by slice."""
+    """Counts with their slice, ``_s`` and ``_t``, and the group's ``_middle``. Slices are in the
+    order of the values, by the first number, then the second."""
+    placed = skew_safe_join(counts, _edges(counts), ["_g"], "left")
+
+    def below(places: Sequence[Column]) -> Column:
+        """How many of the edges at ``places`` are smaller; plain comparisons, which are compiled."""
+        return sum((F.when(F.get("_edges", i) < F.col("_v"), 1).otherwise(0) for i in places), F.lit(0))
+
+    return placed.withColumn("_s", below([F.lit(_STEP * i + _STEP - 1) for i in range(_STEP)])).select(
+        "_g", "_v", "_c", "_s", below([F.col("_s") * _STEP + i for i in range(_STEP)]).alias("_t"),
+        F.coalesce("_middle", F.lit(0.0)).alias("_middle"))
+
+
+def _ranked_by_slice(counts: DataFrame, ranks: Sequence[Column]) -> DataFrame:
+    """As :func:`_ranked_whole`, but only the values of slices in which one of ``ranks`` falls, each
+    with its group's ``_n``, ``_mean``, ``_squares`` (of distances from the mean), ``_low`` and ``_high``."""
     hist = _sliced(counts)
-    # A group has a bounded number of slices, so a window over a group's slices stays small.
+    own = ["_g", "_s", "_t"]
+    away = F.col("_v") - F.col("_middle")
+    slices = hist.groupBy(*own).agg(
+        F.sum("_c").alias("_in"), F.sum(F.col("_v") * F.col("_c")).alias("_total"),
+        F.sum(away * F.col("_c")).alias("_away"), F.sum(away * away * F.col("_c")).alias("_away2"),
+        F.min("_v").alias("_least"), F.max("_v").alias("_most"))
+    # A group has 257 slices at most. Squares are summed around a middle value, which keeps digits.
     group = Window.partitionBy("_g")
-    below = group.orderBy("_s", "_t").rowsBetween(Window.unboundedPreceding, -1)
-    size = F.sum("_in_slice").over(group)
-    slices = hist.groupBy("_g", "_s", "_t").agg(
-        F.sum("_c").alias("_in_slice"), F.sum(F.col("_v") * F.col("_c")).alias("_total")
-    ).select(
-        "_g", "_s", "_t", F.coalesce(F.sum("_in_slice").over(below), F.lit(0)).alias("_below"),
-        size.alias("_n"), (F.sum("_total").over(group) / size).alias("_mean"),
-    )
-    within = Window.partitionBy("_g", "_s", "_t").orderBy("_v")
-    return hist.join(slices, ["_g", "_s", "_t"]).select(
-        "_g", "_v", "_c", "_n", "_mean",
-        (F.col("_below") + F.sum("_c").over(within)).alias("_upto"),
-    )
+    before = group.orderBy("_s", "_t").rowsBetween(Window.unboundedPreceding, -1)
+    size = F.sum("_in").over(group)
+    away_all = F.sum("_away").over(group)
+    slices = slices.select(
+        *own, "_in", "_least", "_most", F.coalesce(F.sum("_in").over(before), F.lit(0)).alias("_below"), size.alias("_n"),
+        (F.sum("_total").over(group) / size).alias("_mean"),
+        F.greatest(F.sum("_away2").over(group) - away_all * away_all / size, F.lit(0.0)).alias("_squares"),
+        F.min("_least").over(group).alias("_low"), F.max("_most").over(group).alias("_high"))
+    falls = [(rank > F.col("_below")) & (rank <= F.col("_below") + F.col("_in")) for rank in ranks]
+    wanted = slices.where(F.exists(F.array(*falls), lambda here: here)).drop("_in")
+    # A group has few such slices: their bounds pick the values, which are not placed again.
+    chosen = skew_safe_join(counts, wanted, ["_g"]).where(F.col("_v").between(F.col("_least"), F.col("_most")))
+    within = Window.partitionBy(*own).orderBy("_v")
+    return chosen.drop("_least", "_most").withColumn("_upto", F.col("_below") + F.sum("_c").over(within))
 
 
 def box_stats(
