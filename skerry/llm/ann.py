@@ -11,8 +11,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Vectors of a leaf that one task compares at once.
-BLOCK = 2_000
+#: Vectors of a leaf, and queries, that one task compares at once.
+BLOCK, ASKED = 8_000, 8_192
+#: Numbers in the vectors of a sample, at most about (64 MB).
+VALUES = 8_000_000
 
 
 @dataclass
@@ -86,22 +88,73 @@ def search(trees: list[Tree], vector: np.ndarray, rows: float) -> list[tuple[int
     return found
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, trees: int = 6, share: float = 0.3,
-            sample: int = 50_000, leaf: int = 400, seed: int = 7) -> DataFrame:
+@dataclass
+class Forest:
+    """Trees over the sampled rows `ids`, `vectors` of one length; `leaves` holds each row's leaf by tree,
+    `blocks` the number of blocks into which each leaf of each tree is cut."""
+
+    trees: list[Tree]
+    ids: np.ndarray
+    vectors: np.ndarray
+    leaves: list[np.ndarray]
+    blocks: list[np.ndarray]
+
+    def visited(self, vector: np.ndarray, share: float, k: int) -> list[tuple[int, int]]:
+        return search(self.trees, vector, max(share * len(self.ids), min(k + 1, len(self.ids))) * len(self.trees))
+
+    def known(self, query: int, vector: np.ndarray, found: list[tuple[int, int]], k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and distances of the k nearest sampled rows in the leaves `found`."""
+        inside = np.zeros(len(self.ids), dtype=bool)
+        for t in range(len(self.trees)):
+            opened = np.zeros(len(self.blocks[t]), dtype=bool)
+            opened[[leaf for tree, leaf in found if tree == t]] = True
+            inside |= opened[self.leaves[t]]
+        rows = np.flatnonzero(inside & (self.ids != query))
+        scores = distances(self.vectors[rows], vector)
+        order = np.lexsort((self.ids[rows], scores))[:k]
+        return self.ids[rows][order], scores[order]
+
+
+def plant(ids: np.ndarray, vectors: np.ndarray, trees: int, parts: int, scale: float, rng: np.random.Generator) -> Forest:
+    """A forest whose trees have about `parts` leaves; each sampled row stands for `scale` rows."""
+    leaf = max(25, -(-len(ids) // parts))
+    grown = [grow(vectors, leaf, rng) for _ in range(trees if len(ids) > leaf else 1)]
+    blocks = [np.ceil(np.maximum(tree.sizes, 1) * scale / BLOCK).astype(np.int64) for tree in grown]
+    return Forest(grown, ids, vectors, [leaf_of(tree, vectors) for tree in grown], blocks)
+
+
+def distances(data: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    return np.sqrt(((data - vector) ** 2).sum(axis=1))
+
+
+def within(data: np.ndarray, vectors: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Row by query: may the distance be `bounds` at most? By products, with room for their rounding."""
+    with np.errstate(all="ignore"):
+        rows, asked = (data ** 2).sum(axis=1)[:, None], (vectors ** 2).sum(axis=1)[None, :]
+        room = 1e-13 * data.shape[1] * (rows + asked)
+        return ~(rows + asked - 2 * (data @ vectors.T) > bounds[None, :] ** 2 * (1 + 1e-12) + room)
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, trees: int = 6, share: float = 0.2,
+            sample: int = 50_000, parts: int = 64, seed: int = 7) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of `queries` its `k` nearest other rows of `vectors`.
 
-    Both have vec_id and embedding. The forest is grown on at most `sample` rows, those of the
-    smallest digest of vec_id, down to `leaf` sampled rows (at most `sample` / `leaf` leaves a
-    tree, so the forest that tasks get is bounded); every row is placed in one leaf of each tree.
-    A query visits leaves until they hold `share` of the sampled rows of all trees, and more than
-    `k` rows in any case. Those leaves' rows are compared in double precision in blocks of about
-    BLOCK rows: a leaf that holds many rows, of one common vector say, is cut into as many blocks
-    as its part of the sample calls for. The best `k` of each block are merged.
-
-    Vectors that are null, zero, or hold null or non-finite components take no part, nor do those
-    of a length other than the most common one. Ties go to the smaller vec_id. Repeated vec_ids are
-    one candidate each; a query's own vec_id is none of its candidates. Empty tables give no rows,
-    other columns are left out."""
+    Both have vec_id and embedding. Trees are grown on about `sample` rows, fewer if these would hold
+    more than VALUES numbers, those of the smallest digests of vec_id, down to about `parts` leaves, so
+    the forest that tasks get is bounded; every row is placed in one leaf of each tree. A query visits
+    leaves until they hold `share` of the sampled rows of all trees, and more than `k` rows in any case.
+
+    The sampled rows of the visited leaves are known where the query is: the k-th of their distances
+    bounds what can be among the k nearest. All rows of those leaves are then reranked, in groups of
+    about BLOCK rows and ASKED queries: products sort out what lies beyond the bound, distances of the
+    rest are taken in double precision, the best `k` of each group are merged. A leaf that holds many
+    rows, of one common vector say, is cut into as many blocks as its part of the sample calls for.
+
+    Vectors of different lengths are not compared; each length has its own forest, one leaf if the
+    sample has few rows of it. Vectors that are null, zero, or hold null or non-finite components take
+    no part. Ties go to the smaller vec_id. Repeated vec_ids are one candidate each, their nearest
+    vector; a query's own vec_id is none of its candidates. Empty tables give no rows, other columns
+    are left out."""
     spark = vectors.sparkSession
     whole = F.expr("embedding IS NOT NULL AND size(embedding) > 0 AND forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) "
                    "AND abs(x) < double('Infinity')) AND exists(embedding, x -> x <> 0)")
@@ -109,69 +162,94 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, trees: int = 6,
         F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(whole)
     vectors, queries = usable(vectors), usable(queries)
     schema = "query_id long, rank int, vec_id long, score double"
-    common = vectors.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if common is None:
+    total, width = vectors.agg(F.count("*"), F.avg(F.size("embedding"))).first()
+    if not total:
         return spark.createDataFrame([], schema)
-    width, total = common["d"], common["count"]
-    vectors, queries = vectors.where(F.size("embedding") == width), queries.where(F.size("embedding") == width)
-    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").collect()
-    fitted = np.array([r[0] for r in rows], dtype=np.float64).astype(np.float32).astype(np.float64)
+    wanted = max(1, min(sample, int(VALUES / width)))
+    drawn = vectors if total <= wanted else vectors.where(
+        F.pmod(F.xxhash64("vec_id"), F.lit(1 << 40)) < int(wanted / total * (1 << 40)))
+    # Repeated ids collapse before they travel, so a common id cannot fill the sample.
+    lengths: dict[int, list] = {}
+    for row in drawn.groupBy("vec_id").agg(F.min("embedding").alias("embedding")).orderBy("vec_id").toLocalIterator():
+        lengths.setdefault(len(row["embedding"]), []).append((row["vec_id"], row["embedding"]))
+    scale = total / max(1, sum(map(len, lengths.values())))
     rng = np.random.default_rng(seed)
-    forest = spark.sparkContext.broadcast([grow(fitted, leaf, rng) for _ in range(trees)])
-    blocks = [np.ceil(tree.sizes * (total / len(fitted)) / BLOCK).astype(np.int64) for tree in forest.value]
-    rows_asked = max(share * len(fitted), min(k + 1, len(fitted))) * trees
+    planted = {d: plant(np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=np.float64), trees, parts, scale, rng)
+               for d, rows in sorted(lengths.items())}
+    forests = spark.sparkContext.broadcast(planted)
+    askings = max(1, -(-queries.count() // ASKED))
 
-    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def forest_for(d: int) -> Forest:
+        """A length without a sampled row has one leaf."""
+        return forests.value.get(d) or plant(np.zeros(0, dtype=np.int64), np.zeros((0, d)), 1, parts, scale, np.random.default_rng(0))
+
+    def by_length(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[Forest, np.ndarray, np.ndarray, np.ndarray]]:
         for frame in frames:
             for low in range(0, len(frame), 4096):
                 part = frame.iloc[low:low + 4096]
-                data = np.stack(part["embedding"].to_numpy()).astype(np.float64)
-                packed = [row.tobytes() for row in data]
-                mixed = (part["vec_id"].to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
-                for t, tree in enumerate(forest.value):
-                    found = leaf_of(tree, data)
-                    yield pd.DataFrame({"tree": t, "leaf": found, "block": mixed % blocks[t][found], "query": False,
-                                        "id": part["vec_id"].to_numpy(), "data": packed})
+                for d, same in part.groupby(part["embedding"].map(len)):
+                    yield (forest_for(int(d)), same["vec_id"].to_numpy(), np.stack(same["embedding"].to_numpy()).astype(np.float64),
+                           same["mix"].to_numpy().astype(np.uint64) >> np.uint64(20))
+
+    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for forest, ids, data, mix in by_length(frames):
+            packed = [row.tobytes() for row in data]
+            for t, tree in enumerate(forest.trees):
+                found = leaf_of(tree, data)
+                block = (mix % forest.blocks[t][found].astype(np.uint64)).astype(np.int64)
+                for asking in range(askings):
+                    yield pd.DataFrame({"width": data.shape[1], "tree": t, "leaf": found, "block": block, "asking": asking,
+                                        "bound": np.nan, "id": ids, "data": packed})
 
     def visit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for forest, ids, data, mix in by_length(frames):
             out = []
-            for vec_id, embedding in zip(frame["vec_id"], frame["embedding"], strict=True):
-                vector = np.asarray(embedding, dtype=np.float64)
-                for t, found in search(forest.value, vector, rows_asked):
-                    out.extend((t, found, b, True, vec_id, vector.tobytes()) for b in range(int(blocks[t][found])))
-            yield pd.DataFrame(out, columns=["tree", "leaf", "block", "query", "id", "data"])
+            for query, vector, asking in zip(ids, data, mix % np.uint64(askings), strict=True):
+                found = forest.visited(vector, share, k)
+                scores = forest.known(query, vector, found, k)[1]
+                bound = scores[-1] if len(scores) == k else np.inf
+                for t, leaf in found:
+                    out.extend((data.shape[1], t, leaf, b, int(asking), bound, query, vector.tobytes())
+                               for b in range(int(forest.blocks[t][leaf])))
+            yield pd.DataFrame(out, columns=["width", "tree", "leaf", "block", "asking", "bound", "id", "data"])
+
+    def known(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for forest, ids, data, _ in by_length(frames):
+            for query, vector in zip(ids, data, strict=True):
+                near, scores = forest.known(query, vector, forest.visited(vector, share, k), k)
+                yield pd.DataFrame({"query_id": query, "vec_id": near, "score": scores})
 
     def compare(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        asked = frame["query"].to_numpy()
+        asked = frame["bound"].notna().to_numpy()
+        parts = [pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})]
         if not asked.any() or asked.all():
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-        unpack = lambda rows: np.frombuffer(b"".join(rows), dtype=np.float64).reshape(-1, width)
-        frame = frame.drop_duplicates(["query", "id", "data"])
-        asked = frame["query"].to_numpy()
+            return parts[0]
+        unpack = lambda rows: np.frombuffer(b"".join(rows), dtype=np.float64).reshape(-1, key[0])
         ids, data = frame["id"].to_numpy()[~asked], unpack(frame["data"][~asked])
-        parts = []
-        for query, vector in zip(frame["id"].to_numpy()[asked], unpack(frame["data"][asked]), strict=True):
-            score = np.sqrt(((data - vector) ** 2).sum(axis=1))
-            score[ids == query] = np.inf
-            if len(score) > 2 * k:
-                near = np.flatnonzero(score <= np.partition(score, k)[k])
-            else:
-                near = np.arange(len(score))
-            near = near[np.lexsort((ids[near], score[near]))][:2 * k]
-            near = near[np.isfinite(score[near])][:k]
-            parts.append(pd.DataFrame({"query_id": query, "vec_id": ids[near], "score": score[near]}))
+        names, sought, bounds = frame["id"].to_numpy()[asked], unpack(frame["data"][asked]), frame["bound"].to_numpy()[asked]
+        for low in range(0, len(names), 256):
+            close = within(data, sought[low:low + 256], bounds[low:low + 256])
+            for column in np.flatnonzero(close.any(axis=0)):
+                query = names[low + column]
+                rows = np.flatnonzero(close[:, column] & (ids != query))
+                score = distances(data[rows], sought[low + column])
+                # Copies of an id in a group count once, so that they cannot push out others.
+                order = np.lexsort((ids[rows], score))
+                best = order[np.sort(np.unique(ids[rows][order], return_index=True)[1])][:k]
+                parts.append(pd.DataFrame({"query_id": query, "vec_id": ids[rows][best], "score": score[best]}))
         return pd.concat(parts)
 
-    columns, result = "tree int, leaf long, block long, query boolean, id long, data binary", "query_id long, vec_id long, score double"
-
-    def best(found: DataFrame) -> DataFrame:
-        """Of each query the k best; its blocks gave at most k each."""
-        order = F.array_sort(F.collect_set(F.struct("score", "vec_id")))
-        return (found.groupBy("query_id").agg(F.slice(order, 1, k).alias("best"))
-                .select("query_id", F.posexplode("best").alias("pos", "near"))
-                .select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), "near.vec_id", "near.score"))
-
-    placed = vectors.mapInPandas(place, columns).unionByName(queries.mapInPandas(visit, columns))
-    found = best(placed.groupBy("tree", "leaf", "block").applyInPandas(compare, result))
-    return found
+    mixed = F.xxhash64("vec_id", "embedding").alias("mix")
+    columns = "width int, tree int, leaf long, block long, asking int, bound double, id long, data binary"
+    result = "query_id long, vec_id long, score double"
+    copies = vectors.select("*", mixed).dropDuplicates(["mix", "vec_id", "embedding"])
+    sought = queries.select("*", mixed)
+    placed = copies.mapInPandas(place, columns).unionByName(sought.mapInPandas(visit, columns))
+    found = placed.groupBy("width", "tree", "leaf", "block", "asking").applyInPandas(compare, result)
+    # What is known from the sample is given as it is; each group adds at most k within the bound.
+    order = F.array_sort(F.collect_list(F.struct("score", "vec_id")))
+    return (found.unionByName(sought.mapInPandas(known, result))
+            .groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+            .groupBy("query_id").agg(F.slice(order, 1, k).alias("best"))
+            .select("query_id", F.posexplode("best").alias("pos", "near"))
+            .select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), "near.vec_id", "near.score"))

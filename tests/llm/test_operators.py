@@ -303,26 +303,67 @@ def test_scores_beat_counts_on_held_out_texts(spark):
     assert found[0] > found[1]
 
 
-def test_neighbours(spark):
-    rng = np.random.default_rng(6)
-    data = rng.normal(size=(3000, 16))
-    data[100:400] = data[7]  # a common vector, and ties
-    rows = [(i, v.tolist(), 0) for i, v in enumerate(data)] + [(5000, None, 0), (5001, [0.0] * 16, 0), (5002, [float("nan")] * 16, 0),
-                                                               (5003, [None] * 16, 0), (5004, [1.0], 0)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int")
-    found = ann.nearest(df, df.where("vec_id % 100 = 0"), sample=1500, leaf=100).collect()
+def _nearest_hits(found, data, asked, k=10):
+    """How many of the true neighbours of `asked` were found; ranks, order and distances are checked."""
     by, hits = defaultdict(list), 0
     for r in found:
         by[r.query_id].append(r)
-    for q in range(0, 3000, 100):
+    for q, own in ((q, sorted(by[q], key=lambda r: r["rank"])) for q in asked):
         distance = np.sqrt(((data - data[q]) ** 2).sum(axis=1))
         distance[q] = np.inf
-        own = sorted(by[q], key=lambda r: r["rank"])
-        assert [r["rank"] for r in own] == list(range(1, 11)) and [(r.score, r.vec_id) for r in own] == sorted((r.score, r.vec_id) for r in own)
-        assert all(r.score == distance[r.vec_id] for r in own)
-        hits += len({r.vec_id for r in own} & set(np.lexsort((np.arange(3000), distance))[:10].tolist()))
-    assert len(by) == 30 and hits >= 0.9 * 300
-    assert ann.nearest(df.where("false"), df).isEmpty()
+        assert [r["rank"] for r in own] == list(range(1, k + 1)) and [(r.score, r.vec_id) for r in own] == sorted((r.score, r.vec_id) for r in own)
+        assert all(r.score == distance[r.vec_id] for r in own) and len({r.vec_id for r in own}) == k
+        hits += len({r.vec_id for r in own} & set(np.lexsort((np.arange(len(data)), distance))[:k].tolist()))
+    assert set(by) == set(asked)
+    return hits
+
+
+@pytest.mark.parametrize("settings", [{}, {"sample": 1500}, {"sample": 40}])
+def test_neighbours(spark, monkeypatch, settings):
+    monkeypatch.setattr(ann, "BLOCK", 40)  # common vectors in many blocks, queries in several groups
+    monkeypatch.setattr(ann, "ASKED", 12)
+    rng = np.random.default_rng(6)
+    data = rng.normal(size=(1500, 16))
+    data[100:400] = data[7]  # a common vector, and ties
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(data)] + [(5000, None, 0), (5001, [0.0] * 16, 0), (5002, [float("nan")] * 16, 0),
+                                                               (5003, [None] * 16, 0), (None, [1.0], 0)]
+    rows += rows[900:910] * 3  # repeated rows
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int")
+    asked = range(0, 1500, 50)
+    found = ann.nearest(df, df.where("vec_id % 50 = 0"), **settings).collect()
+    hits = _nearest_hits(found, data, asked)
+    assert hits >= 0.9 * 10 * len(asked) or settings == {"sample": 40}
+    assert ann.nearest(df.where("false"), df).isEmpty() and ann.nearest(df, df.where("false")).isEmpty()
+
+
+def test_neighbours_of_mixed_lengths(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=8 if i % 3 else 5).tolist()) for i in range(300)]
+    rows += [(1000, [1.0]), (1001, [3.0]), (1002, [1e200, 1.0]), (1003, [-1e200, 1.0]), (1004, [1.0, 2.0, 3.0]), (1, [0.5] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    by = defaultdict(list)
+    for r in ann.nearest(df, df.where("vec_id >= 1000 OR vec_id < 10"), k=400).collect():
+        by[r.query_id].append((r.score, r.vec_id))
+    for q in [*range(10), *range(1000, 1005)]:
+        best = {}
+        for mine in (v for i, v in rows if i == q):
+            for i, v in rows:
+                if i != q and len(v) == len(mine):
+                    with np.errstate(over="ignore"):
+                        score = float(np.sqrt(((np.array(v) - np.array(mine)) ** 2).sum()))
+                    best[i] = min(best.get(i, np.inf), score)
+        expected = sorted((score, i) for i, score in best.items())
+        assert [i for _, i in sorted(by[q])] == [i for _, i in expected], q
+        assert np.allclose([score for score, _ in sorted(by[q])], [score for score, _ in expected], rtol=1e-12)
+
+
+def test_recall_with_the_parameters_of_the_query(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>")).collect()
+    place = {r[0]: i for i, r in enumerate(sorted(rows))}
+    assert sorted(place.values()) == [place[i] for i in sorted(place)] and list(place) == list(range(len(rows)))
+    data = np.array([r[1] for r in sorted(rows)])
+    asked = range(0, len(data), 100)
+    assert _nearest_hits(QUERIES["op8_projection_forest"](spark, "/root/testdata/sf0.1").collect(), data, asked) >= 0.9 * 10 * len(asked)
 
 
 def test_patterns_and_model(spark, docs, rows, empty):
