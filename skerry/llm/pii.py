@@ -278,10 +278,18 @@ def example_rows() -> list[tuple[str, list[tuple[int, int, str]]]]:
 
 
 def train_on(docs: DataFrame) -> Crf:
-    """From EXAMPLES and a bounded sample of `docs`: of the SAMPLE_DOCS texts with the smallest digest
-    of doc_id that hold a digit, SAMPLE_RUNS runs at most, labelled by the patterns."""
-    some = (docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.col("text").rlike("[0-9]") & (F.length("text") < 20_000))
-            .orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).select("text"))
+    """From EXAMPLES and a bounded sample of `docs`: at most SAMPLE_RUNS runs of at most SAMPLE_DOCS
+    texts, labelled by the patterns. Texts with a digit and below 20,000 characters are drawn by the
+    digest of doc_id and text, runs of up to 12 words are taken.
+
+    Rows are first drawn by a digest bound that the number of rows sets, about twice what is wanted,
+    so the texts that meet in one task do not grow with the table or its splits; copies collapse
+    before that. Where fewer than half of the texts will do, the sample is smaller."""
+    total, reach = docs.count(), 1 << 40
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    digest = F.pmod(F.xxhash64("doc_id", "text"), F.lit(reach))
+    some = (texts.where((digest < min(reach, 2 * SAMPLE_DOCS * reach // max(total, 1))) & (F.length("text") < 20_000) & F.col("text").rlike("[0-9]"))
+            .distinct().orderBy(digest, "doc_id", "text").limit(SAMPLE_DOCS).select("text"))
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

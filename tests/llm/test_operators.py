@@ -366,6 +366,20 @@ def test_recall_with_the_parameters_of_the_query(spark):
     assert _nearest_hits(QUERIES["op8_projection_forest"](spark, "/root/testdata/sf0.1").collect(), data, asked) >= 0.9 * 10 * len(asked)
 
 
+def test_training_texts_are_drawn_before_they_meet(spark, monkeypatch):
+    monkeypatch.setattr(pii, "SAMPLE_DOCS", 20)
+    seen = []
+    monkeypatch.setattr(pii, "train", lambda examples: seen.append(len(examples)))
+    number = F.format_string("call 030 555 77%02d today", F.col("id") % 89)
+    copies = spark.range(3000).select(F.lit(1).alias("doc_id"), F.lit("call 030 555 7713 today").alias("text"))
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), number.alias("text")).unionByName(copies)
+    pii.train_on(docs)
+    pii.train_on(copies)
+    pii.train_on(docs.where("false"))
+    own = seen[2]
+    assert own < seen[0] <= own + 20 and own <= seen[1] <= own + 1
+
+
 def test_patterns_and_model(spark, docs, rows, empty):
     found = {r.doc_id: r for r in pii.find_spans(docs).collect()}
     kinds = [s.kind for s in found[len(rows) - 2].base]
