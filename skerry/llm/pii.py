@@ -282,13 +282,13 @@ def train_on(docs: DataFrame) -> Crf:
     texts, labelled by the patterns. Texts with a digit and below 20,000 characters are drawn by the
     digest of doc_id and text, runs of up to 12 words are taken.
 
-    Rows are first drawn by a digest bound that the number of rows sets, about twice what is wanted,
-    so the texts that meet in one task do not grow with the table or its splits; copies collapse
-    before that. Where fewer than half of the texts will do, the sample is smaller."""
-    total, reach = docs.count(), 1 << 40
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    Such texts are counted, and drawn by a digest bound that the count sets, a quarter more than is
+    wanted, so those that meet in one task do not grow with the table or its splits; copies collapse
+    before that."""
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where((F.length("text") < 20_000) & F.col("text").rlike("[0-9]"))
+    total, reach = texts.count(), 1 << 40
     digest = F.pmod(F.xxhash64("doc_id", "text"), F.lit(reach))
-    some = (texts.where((digest < min(reach, 2 * SAMPLE_DOCS * reach // max(total, 1))) & (F.length("text") < 20_000) & F.col("text").rlike("[0-9]"))
+    some = (texts.where(digest < min(reach, 5 * SAMPLE_DOCS * reach // (4 * max(total, 1))))
             .distinct().orderBy(digest, "doc_id", "text").limit(SAMPLE_DOCS).select("text"))
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
