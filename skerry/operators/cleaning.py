@@ -89,5 +89,8 @@ def collate_reports(
     order = ["date", "time"] + [c for c in data if c not in ("date", "time")]
     typed = kept.select(*[
         parsers.get(c, lambda value: value)(column(c)).alias(c) for c in order])
-    unique = deduplicate(typed)
+    # Hardly any row repeats, so collapsing copies task by task would hold all rows of a split. Rows are
+    # dealt out by content first, in parts of bounded size; adaptive execution splits one of many copies.
+    dealt = typed.withColumn("_slot", F.xxhash64(*[column(c) for c in order])).hint("rebalance", "_slot")
+    unique = deduplicate(dealt.select(*[column(c) for c in order]))
     return species_lookup(unique, metadata) if metadata is not None else unique

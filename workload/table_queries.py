@@ -174,6 +174,10 @@ register("station_export", "observation_time:t temperature:f temperature_quality
         FROM weather_a""")
 
 
+#: Range of keys that share the four export files of a provider.
+_PIECE_KEYS = 1 << 20
+
+
 def _export_lines(t):
     """Observations as the lines of tab-separated files, some per provider; provider 2 turns the
     columns round. Fields have tabs, line ends and quotes; some equal the name of a column."""
@@ -201,8 +205,10 @@ def _export_lines(t):
     def line(order, suffix):
         return F.concat(F.concat_ws("\t", *[cells[c] for c in order]), suffix)
 
+    # Four pieces for each range of keys: files keep their size, more rows make more of them.
+    piece = F.floor(key / _PIECE_KEYS) * 4 + F.floor(key / 32) % 4
     rows = t.observations.select(
-        F.col("DataProviderId").cast("string").alias("provider"), (F.floor(key / 32) % 4).alias("piece"),
+        F.col("DataProviderId").cast("string").alias("provider"), piece.alias("piece"),
         F.lit(1).alias("place"), F.when(F.col("DataProviderId") == 2, line(turned, F.lit(""))).otherwise(
             line(names, F.when(key % 7 == 0, "\tragged").otherwise(""))).alias("value"))
     header = F.when(F.col("provider") == "2", "\t".join(turned)).otherwise("\t".join(names))
