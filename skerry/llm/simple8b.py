@@ -36,14 +36,19 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     at = np.arange(n, dtype=np.int64)
-    left = np.minimum(BLOCK - at % BLOCK, n - at)
+    # Width of each id as the first selector of one that takes it; past the end of a block none does.
+    widest = np.full((-(-n // BLOCK), BLOCK), ESCAPE, dtype=np.int8)
+    widest.reshape(-1)[:n] = np.searchsorted(np.uint64(1) << BITS[:ESCAPE].astype(np.uint64), ids, side="right")
+    width = widest.copy()
     chosen = np.full(n, ESCAPE, dtype=np.int8)
+    count = 1
     for selector in range(13, -1, -1):  # the last that fits holds the most
-        wide = np.where(ids >> np.uint64(BITS[selector]) != 0, at, n)
-        run = np.minimum(np.minimum.accumulate(wide[::-1])[::-1] - at, left)
-        fits = run >= COUNTS[selector]
+        for count in range(count + 1, int(COUNTS[selector]) + 1):  # widest of the next `count` ids
+            np.maximum(widest[:, :1 - count], width[:, count - 1:], out=widest[:, :1 - count])
+            widest[:, 1 - count] = ESCAPE
+        fits = widest.reshape(-1)[:n] <= selector
         if selector < 13 and not fits.any():
-            continue
+            break  # nor will more ids in fewer bits each
         chosen[fits] = selector
     step = at + COUNTS[chosen]
     used = np.zeros(n, dtype=bool)

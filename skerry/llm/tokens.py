@@ -77,10 +77,13 @@ class FlatEncoder:
     """As PartEncoder, with the ids of all remembered parts side by side in one array.
 
     Texts that hold one of the strings `whole` are encoded whole, like those with a space before
-    white space. When more than `remembered` parts are known, all are forgotten."""
+    white space. When more than `remembered` parts are known, all are forgotten. `encode_parts`, if
+    given, has flat ids and the number of ids of parts that begin with a space before a character
+    that is not white space; others go through `encode_all`."""
 
-    def __init__(self, encode_all: Callable[[list[str]], list[list[int]]], whole: Sequence[str] = (), remembered: int = REMEMBERED):
-        self.encode_all, self.remembered = encode_all, remembered
+    def __init__(self, encode_all: Callable[[list[str]], list[list[int]]], whole: Sequence[str] = (), remembered: int = REMEMBERED,
+                 encode_parts: Callable[[list[str]], tuple[np.ndarray, np.ndarray]] | None = None):
+        self.encode_all, self.remembered, self.encode_parts = encode_all, remembered, encode_parts or self._encoded
         self.uncut = "|".join([UNCUT, *[re.escape(w) for w in whole]])
         self._forget()
 
@@ -102,7 +105,7 @@ class FlatEncoder:
         new = np.flatnonzero(numbers < 0)
         if len(new):
             fresh, first = [parts[i] for i in new.tolist()], len(self.known)
-            ids, lengths = self._encoded(fresh)
+            ids, lengths = self.encode_parts(fresh)
             self.flat, self.lengths = np.concatenate([self.flat, ids]), np.concatenate([self.lengths, lengths])
             numbers[new] = np.arange(first, first + len(fresh))
             self.known.update(zip(fresh, range(first, first + len(fresh)), strict=True))
@@ -182,7 +185,10 @@ def library_encoder(vocabulary: str, ranks: str, pattern: str) -> FlatEncoder:
     import tiktoken
     from tokenizers import Tokenizer
 
-    fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=read_ranks(ranks), special_tokens={})
+    tokens = read_ranks(ranks)
+    fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=tokens, special_tokens={})
+    sizes = np.zeros(max(tokens.values()) + 1, np.int64)
+    sizes[list(tokens.values())] = [len(t) for t in tokens]
     slow = Tokenizer.from_file(vocabulary)
     added = [token.content for token in slow.get_added_tokens_decoder().values()]
 
@@ -191,7 +197,21 @@ def library_encoder(vocabulary: str, ranks: str, pattern: str) -> FlatEncoder:
             return fast.encode_ordinary(text)
         return slow.encode(text, add_special_tokens=False).ids
 
-    return FlatEncoder(lambda parts: [encode(p) for p in parts], added)
+    def encode_parts(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Those in Latin script one after the other as one text: a match begins with each of them."""
+        latin = np.fromiter((p.isascii() or max(p) < "ɐ" for p in parts), bool, len(parts))
+        together = "".join(p for p, own in zip(parts, latin.tolist(), strict=True) if own)
+        others = [slow.encode(parts[i], add_special_tokens=False).ids for i in np.flatnonzero(~latin).tolist()]
+        coded = np.array(fast.encode_ordinary(together), np.uint32)
+        ends = np.cumsum(np.asarray(pc.binary_length(pa.array(parts, pa.string())), np.int64)[latin])
+        lengths = np.zeros(len(parts), np.int64)
+        lengths[latin] = np.diff(np.searchsorted(np.cumsum(sizes[coded]), ends) + 1, prepend=0)
+        lengths[~latin] = [len(o) for o in others]
+        ids, own = np.empty(int(lengths.sum()), np.uint32), np.repeat(latin, lengths)
+        ids[own], ids[~own] = coded, list(chain.from_iterable(others))
+        return ids, lengths
+
+    return FlatEncoder(lambda strings: [encode(s) for s in strings], added, encode_parts=encode_parts)
 
 
 def public_library_encoder() -> FlatEncoder:

@@ -512,6 +512,41 @@ def test_ids_with_added_tokens_are_the_librarys():
     encoder.remembered = 250_000
 
 
+def test_new_parts_are_encoded_in_one_call():
+    """Only openings go one by one; parts in other scripts mix with those in Latin script."""
+    import public_tokenizers as public
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from skerry.llm.tokens import library_encoder
+
+    tokenizer = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    encoder, single = library_encoder.__wrapped__(public.path("byte_bpe_50k.json"), public.path("byte_bpe_50k.tiktoken"), public.PATTERN), []
+    encode_all = encoder.encode_all
+    encoder.encode_all = lambda strings: single.extend(strings) or encode_all(strings)
+    texts = ["One it's\n two\tthree 中文 x1,y é", "привет wörld\n\n 123 don't", "", "a  b", None]
+    want = [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    ids, lengths = encoder.ids(pa.array(texts))
+    assert [list(x) for x in np.split(ids, np.cumsum(lengths)[:-1])] == want
+    assert single == ["One", "привет", "", "a  b", ""]
+
+
+def test_words_of_simple8b_are_chosen_at_block_ends():
+    """Each word takes as many ids as fit in it and in its block."""
+    rng = np.random.default_rng(2)
+    for n in (1, simple8b.BLOCK - 1, simple8b.BLOCK, simple8b.BLOCK + 1, 2 * simple8b.BLOCK + 59):
+        ids = rng.integers(0, 1 << 20, n).astype(np.uint64) >> rng.integers(0, 20, n).astype(np.uint64)
+        want, at = [], 0
+        while at < n:
+            left = min(simple8b.BLOCK - at % simple8b.BLOCK, n - at)
+            selector = next(s for s in range(14) if simple8b.COUNTS[s] <= left and not (
+                ids[at:at + simple8b.COUNTS[s]] >> np.uint64(simple8b.BITS[s])).any())
+            want.append(selector)
+            at += int(simple8b.COUNTS[selector])
+        packed, _ = simple8b.pack(ids)
+        assert (packed >> np.uint64(60)).tolist() == want and (simple8b.unpack(packed) == ids).all()
+
+
 def test_parts_of_addresses_may_be_long():
     zeros = "0" * 6000
     assert [s for s in pii.patterns(f"{zeros}.1.1.1 {zeros}7.1.1.1 {zeros}256.1.1.1 1.1.1.{zeros}") if s[2] == "ip"] == [
