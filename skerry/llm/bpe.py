@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import array
 import heapq
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +20,9 @@ from skerry.llm.tokens import PartEncoder, read_ranks
 
 #: Bytes of matches whose merges are replayed together, and pairs remembered from one replay to the next.
 REPLAY_BYTES, PAIRS = 1 << 18, 200_000
-#: Bytes of texts encoded in one go, and parts remembered by a worker: replay costs more than memory of parts.
-ENCODED_BYTES, PARTS = 2 << 20, 500_000
+#: Bytes of texts encoded in one go, and parts and matches remembered by a worker: replay costs more than memory of
+#: them, and parts that differ share matches.
+ENCODED_BYTES, PARTS, MATCHES = 2 << 20, 200_000, 400_000
 
 
 def blocks(matches: list[bytes]) -> Iterator[list[bytes]]:
@@ -154,16 +157,34 @@ class MergeReplay:
         return out
 
 
+class MatchMemory:
+    """Ids of matches as bytes (unsigned 32-bit); unknown matches are replayed together. At most
+    `remembered` stay, in two halves: when the newer is full, the older is forgotten."""
+
+    def __init__(self, replay: MergeReplay, remembered: int = MATCHES):
+        self.replay, self.half, self.newer, self.older = replay, remembered // 2, {}, {}
+
+    def ids(self, matches: set[str]) -> dict[str, bytes]:
+        newer, older = self.newer.get, self.older.get
+        met = {m: newer(m) or older(m) for m in matches}
+        new = [m for m, ids in met.items() if ids is None]
+        for match, ids in zip(new, self.replay.encode([m.encode() for m in new]), strict=True):
+            met[match] = array.array("I", ids).tobytes()
+        if len(self.newer) + len(met) > self.half:
+            self.older, self.newer = self.newer, {}
+        self.newer.update(islice(met.items(), self.half - len(self.newer)))
+        return met
+
+
 @lru_cache(maxsize=2)
 def replay_encoder(ranks_path: str, pattern: str) -> PartEncoder:
     """Parts of texts are cut into matches of the pattern; distinct ones are the corpus."""
-    replay, find = MergeReplay(read_ranks(ranks_path)), regex.compile(pattern).findall
+    memory, find = MatchMemory(MergeReplay(read_ranks(ranks_path))), regex.compile(pattern).findall
 
-    def encode(parts: list[str]) -> list[list[int]]:
-        matches = [[m.encode() for m in find(p)] for p in parts]
-        corpus = list({m for own in matches for m in own})
-        ids = dict(zip(corpus, replay.encode(corpus), strict=True))
-        return [ids[own[0]] if len(own) == 1 else [t for m in own for t in ids[m]] for own in matches]
+    def encode(parts: list[str]) -> list[array.array]:
+        matches = [find(p) for p in parts]
+        ids = memory.ids(set(chain.from_iterable(matches)))
+        return [array.array("I", ids[own[0]] if len(own) == 1 else b"".join([ids[m] for m in own])) for own in matches]
 
     return PartEncoder(encode, PARTS)
 

@@ -547,6 +547,20 @@ def test_words_of_simple8b_are_chosen_at_block_ends():
         assert (packed >> np.uint64(60)).tolist() == want and (simple8b.unpack(packed) == ids).all()
 
 
+def test_matches_are_replayed_once_for_parts_that_share_them(monkeypatch):
+    import public_tokenizers as public
+
+    path, replayed = public.path("byte_bpe_multi_50k.tiktoken"), []
+    encode_matches = bpe.MergeReplay.encode
+    monkeypatch.setattr(bpe.MergeReplay, "encode", lambda self, matches: replayed.extend(matches) or encode_matches(self, matches))
+    encode = bpe.replay_encoder.__wrapped__(path, public.PATTERN).encode_all
+    found = [list(ids) for ids in [*encode([" zyxwvut,", " qrstu"]), *encode([" zyxwvut.", " qrstu!,"])]]
+    assert replayed.count(b" zyxwvut") == replayed.count(b" qrstu") == 1
+    replay = bpe.MergeReplay(bpe.read_ranks(path))
+    assert found == [sum(map(replay.alone, m), []) for m in (
+        [b" zyxwvut", b","], [b" qrstu"], [b" zyxwvut", b"."], [b" qrstu", b"!,"])]
+
+
 def test_parts_of_addresses_may_be_long():
     zeros = "0" * 6000
     assert [s for s in pii.patterns(f"{zeros}.1.1.1 {zeros}7.1.1.1 {zeros}256.1.1.1 1.1.1.{zeros}") if s[2] == "ip"] == [
