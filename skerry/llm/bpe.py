@@ -20,10 +20,15 @@ from skerry.llm.tokens import PartEncoder, read_ranks
 
 #: Bytes of matches whose merges are replayed together, and pairs remembered from one replay to the next.
 REPLAY_BYTES, PAIRS = 1 << 18, 200_000
+#: Matches of up to so many bytes are replayed in steps, all at once; longer ones position by position.
+STEPPED_BYTES = 64
 #: Bytes of texts encoded in one go, and parts and matches remembered by a worker: replay costs more than memory of
 #: them, and parts that differ share matches.
 ENCODED_BYTES, PARTS, MATCHES = 2 << 20, 200_000, 400_000
 
+#: In place of the token of a pair that makes none: above all ranks.
+NONE = np.iinfo(np.int64).max
+
 
 def blocks(matches: list[bytes]) -> Iterator[list[bytes]]:
     """The matches in order, in lists of about REPLAY_BYTES, one match at least."""
@@ -40,7 +45,10 @@ def blocks(matches: list[bytes]) -> Iterator[list[bytes]]:
 class MergeReplay:
     """Encodes many matches of the pattern at once.
 
-    All matches lie one after the other as one array of tokens, linked to their neighbours. An
+    Short matches go through the merges in steps: each step applies the merge of lowest rank of
+    every match, leftmost first, so a match of n tokens has one less after it or is done.
+
+    Longer matches lie one after the other as one array of tokens, linked to their neighbours. An
     index has, for each pair of adjacent tokens that a merge joins, the positions of its left
     token. The merge of lowest rank is applied to all its positions, which changes only the pairs
     with the two neighbours; these enter the index. In vocabularies where such a new pair can rank
@@ -55,6 +63,19 @@ class MergeReplay:
             if len(token) == 2:
                 self.pair[token[0], token[1]] = rank
         self.merged = self._byte_pairs()
+        self.keys, self.made = self._joins()
+
+    def _joins(self) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs of tokens that make one (left << 32 | right, ascending), and the token."""
+        get, found = self.ranks.get, {}
+        for token, rank in self.ranks.items():
+            for cut in range(1, len(token)):
+                left, right = get(token[:cut]), get(token[cut:])
+                if left is not None and right is not None:
+                    found[left << 32 | right] = rank
+        keys = np.fromiter(found, np.int64, len(found))
+        order = np.argsort(keys)
+        return keys[order], np.fromiter(found.values(), np.int64, len(found))[order]
 
     def _byte_pairs(self) -> dict[tuple[int, int], int]:
         return {(self.byte[a], self.byte[b]): int(self.pair[a, b]) for a, b in np.argwhere(self.pair >= 0).tolist()}
@@ -80,18 +101,76 @@ class MergeReplay:
 
     def encode(self, matches: list[bytes]) -> list[list[int]]:
         """The ids of each match."""
-        return [ids for block in blocks(matches) for ids in self._replay(block)]
+        return [ids for block in blocks(matches) for ids in self._block(block)]
+
+    def _block(self, matches: list[bytes]) -> list[list[int]]:
+        out: list[list[int]] = [[]] * len(matches)
+        short, long = [], []
+        for i, match in enumerate(matches):
+            rank = self.ranks.get(match)
+            if rank is not None:
+                out[i] = [rank]
+            elif match:
+                (short if len(match) <= STEPPED_BYTES else long).append(i)
+        for where, replay in ((short, self._steps), (long, self._replay)):
+            if where:
+                for i, ids in zip(where, replay([matches[i] for i in where]), strict=True):
+                    out[i] = ids
+        return out
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The tokens that pairs make, NONE for none."""
+        if not len(self.keys):
+            return np.full(len(left), NONE)
+        pair = left << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
+        return np.where(self.keys[at] == pair, self.made[at], NONE)
+
+    def _steps(self, matches: list[bytes]) -> list[list[int]]:
+        """Rows are matches of as many tokens as columns, from the most down to one; every step takes
+        in the matches of that many bytes. `made` has the token of each pair of neighbours."""
+        out: list[list[int]] = [[]] * len(matches)
+        sizes = np.fromiter(map(len, matches), np.int64, len(matches))
+        byte, most = np.array(self.byte, dtype=np.int64), int(sizes.max())
+        pair = np.where(self.pair < 0, NONE, self.pair)
+        who, tokens, made = np.zeros(0, np.int64), np.zeros((0, most), np.int64), np.zeros((0, most - 1), np.int64)
+        for n in range(most, 0, -1):
+            own = np.flatnonzero(sizes == n)
+            if len(own):
+                data = np.frombuffer(b"".join([matches[i] for i in own.tolist()]), np.uint8).reshape(-1, n)
+                who, tokens = np.concatenate([who, own]), np.concatenate([tokens, byte[data]])
+                made = np.concatenate([made, pair[data[:, :-1], data[:, 1:]]])
+            if n > 1:
+                at = made.argmin(axis=1)
+                best = made[np.arange(len(at)), at]
+                go = best < NONE
+            else:
+                go = np.zeros(len(who), dtype=bool)
+            for i, ids in zip(who[~go].tolist(), tokens[~go].tolist(), strict=True):
+                out[i] = ids
+            if n == 1:
+                break
+            who, at, best = who[go], at[go], best[go]
+            row = np.arange(len(who))
+            kept = np.ones((len(who), n), dtype=bool)
+            kept[row, at + 1] = False
+            tokens = tokens[go]
+            tokens[row, at] = best
+            tokens = tokens[kept].reshape(len(who), n - 1)
+            kept = np.ones((len(who), n - 1), dtype=bool)
+            kept[row, at] = False
+            made = made[go][kept].reshape(len(who), n - 2)
+            for first in (at - 1, at):
+                some = np.flatnonzero((first >= 0) & (first < n - 2))
+                place = first[some]
+                made[some, place] = self._rank(tokens[some, place], tokens[some, place + 1])
+        return out
 
     def _replay(self, matches: list[bytes]) -> list[list[int]]:
         if len(self.merged) > PAIRS:
             self.merged = self._byte_pairs()
         out: list[list[int]] = [[]] * len(matches)
-        where = []
-        for i, match in enumerate(matches):
-            if match in self.ranks:
-                out[i] = [self.ranks[match]]
-            else:
-                where.append(i)
+        where = list(range(len(matches)))
         get, known = self._merge, self.merged.get
         # Position of a byte: its place among all bytes, and one free position after each match before it.
         data = np.frombuffer(b"".join([matches[i] for i in where]), np.uint8)
