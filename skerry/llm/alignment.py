@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -14,11 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skerry.llm.text import ragged, stored, text_slices
-from skerry.llm.tokens import PartEncoder, public_encoder, read_ranks
+from skerry.llm.tokens import FlatEncoder, encode_together, read_ranks, token_sizes
 from skerry.operators.joins import skew_safe_join
 
-#: Bytes of texts that are aligned in one go.
-ALIGNED_BYTES = 2 << 20
+#: Bytes of texts that are aligned in one go, and parts remembered by a worker: both bound its memory.
+ALIGNED_BYTES, REMEMBERED = 1 << 20, 150_000
 #: Links of a group that are listed one by one; those of larger groups are counted by distinct ids.
 LISTED = 1 << 16
 
@@ -42,17 +44,44 @@ class Side:
         return self.data[ragged(self.starts[ids], self.lengths[ids])]
 
 
+class BothIds:
+    """Ids of two sides by one encoder, which has a part's ids of side a and then those of side b,
+    MOST_IDS higher: texts are cut, and parts looked up, once for both."""
+
+    def __init__(self, encoder: FlatEncoder):
+        self.encoder, self.texts, self.found = encoder, None, {}
+
+    def ids(self, texts: pa.Array, side: str) -> tuple[np.ndarray, np.ndarray]:
+        if texts is not self.texts or side not in self.found:
+            ids, lengths = self.encoder.ids(pc.binary_join_element_wise("", texts, " "))
+            of_a = ids < MOST_IDS
+            n_a = np.diff(np.concatenate([[0], np.cumsum(of_a)])[np.concatenate([[0], np.cumsum(lengths)])])
+            self.texts, self.found = texts, {"a": (ids[of_a], n_a), "b": (ids[~of_a] - MOST_IDS, lengths - n_a)}
+        return self.found.pop(side)
+
+
+def one_after_the_other(ids_a: np.ndarray, n_a: np.ndarray, ids_b: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each part's ids of side a and then those of side b, MOST_IDS higher, flat, and their number."""
+    lengths = n_a + n_b
+    start = np.cumsum(lengths) - lengths
+    ids = np.empty(int(lengths.sum()), np.uint32)
+    ids[ragged(start, n_a)], ids[ragged(start + n_a, n_b)] = ids_a, ids_b + MOST_IDS
+    return ids, lengths
+
+
 @lru_cache(maxsize=1)
 def public_sides() -> tuple[Side, Side]:
     """The public byte-level vocabulary on a space and the text, and the public pieces on the text."""
     import public_tokenizers as public
+    import tiktoken
     from sentencepiece import SentencePieceProcessor
 
     ranks = read_ranks(public.path("byte_bpe_50k.tiktoken"))
     entries = [b""] * (max(ranks.values()) + 1)
     for entry, rank in ranks.items():
         entries[rank] = entry
-    encoder = public_encoder()
+    fast = tiktoken.Encoding("ranks", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    sizes, slow = token_sizes(ranks), []
     pieces = SentencePieceProcessor(model_file=public.path("piece_bpe_32k.model"))
     numbers = range(pieces.get_piece_size())
     of_piece = [bytes([int(pieces.id_to_piece(i)[3:5], 16)]) if pieces.is_byte(i) else pieces.id_to_piece(i).replace("▁", " ").encode()
@@ -62,12 +91,33 @@ def public_sides() -> tuple[Side, Side]:
     # apart. The library puts a space before each, which is the one that the part has already.
     if any("▁" in pieces.id_to_piece(i).lstrip("▁") for i in numbers):
         raise ValueError("a piece goes on over a space")
-    of_parts = PartEncoder(lambda parts: pieces.encode([p.removeprefix(" ") for p in parts], num_threads=1))
 
-    def spaced(texts: pa.Array) -> pa.Array:
-        return pc.binary_join_element_wise("", texts, " ")
+    def other(text: str) -> list[int]:
+        if not slow:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
+
+            slow.append(Tokenizer.from_file(public.path("byte_bpe_50k.json")))
+            slow[0].encode_special_tokens = True
+        return slow[0].encode(text, add_special_tokens=False).ids
 
-    return Side(lambda texts: encoder.ids(spaced(texts)), entries), Side(lambda texts: of_parts.ids(spaced(texts)), of_piece)
+    def of_a(text: str) -> list[int]:
+        return fast.encode_ordinary(text) if text.isascii() or max(text) < "ɐ" else other(text)
+
+    def of_b(strings: list[str]) -> list[list[int]]:
+        return pieces.encode([s.removeprefix(" ") for s in strings], num_threads=1)
+
+    def encode_all(strings: list[str]) -> list[list[int]]:
+        return [[*of_a(s), *[MOST_IDS + i for i in own]] for s, own in zip(strings, of_b(strings), strict=True)]
+
+    def encode_parts(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        lists = of_b(parts)
+        n_b = np.fromiter(map(len, lists), np.int64, len(lists))
+        ids_b = np.fromiter(chain.from_iterable(lists), np.uint32, int(n_b.sum()))
+        return one_after_the_other(*encode_together(parts, fast, sizes, other), ids_b, n_b)
+
+    both = BothIds(FlatEncoder(encode_all, remembered=REMEMBERED, encode_parts=encode_parts))
+    return Side(lambda texts: both.ids(texts, "a"), entries), Side(lambda texts: both.ids(texts, "b"), of_piece)
 
 
 def faithful(side: Side, ids: np.ndarray, lengths: np.ndarray, data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -145,9 +195,15 @@ def links(ids_a: np.ndarray, ids_b: np.ndarray, group_a: np.ndarray, group_b: np
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
+@lru_cache(maxsize=1)
+def id_names(size: int) -> pa.Array:
+    """Every id below `size` followed by a comma, then by a bar, a semicolon and nothing."""
+    ids = pa.array(range(size)).cast(pa.string())
+    return pa.concat_arrays([pc.binary_join_element_wise(ids, end, "") for end in (",", "|", ";", "")])
+
+
 def group_texts(ids_a: np.ndarray, ids_b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray, n_groups: np.ndarray, names: pa.Array) -> pa.Array:
-    """Each text's groups as `a1,a2|b1;a3|b2,b3`. `names` holds every id followed by a comma, then
-    by a bar, a semicolon and nothing."""
+    """Each text's groups as `a1,a2|b1;a3|b2,b3`. `names` are those of :func:`id_names`."""
     vocabulary, total = len(names) // 4, len(ids_a) + len(ids_b)
     after = np.cumsum(group_a + group_b)
     start = after - group_a - group_b
@@ -172,7 +228,7 @@ def align_slices(docs: DataFrame, sides: Callable[[], tuple[Side, Side]] = publi
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (a, b), task, number = sides(), TaskContext.get().partitionId(), 0
-        names = pa.array([str(i) + end for end in (",", "|", ";", "") for i in range(size)])
+        names = id_names(size)
         for batch in batches:
             for rows in text_slices(batch, ALIGNED_BYTES):
                 found = align(rows.column("text"), a, b)

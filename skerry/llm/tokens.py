@@ -14,6 +14,7 @@ import re
 from collections.abc import Callable, Sequence
 from functools import lru_cache
 from itertools import chain, islice
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,9 @@ import pyarrow.compute as pc
 
 from skerry.llm.text import ragged
 
+if TYPE_CHECKING:
+    import tiktoken
+
 #: Parts remembered by a worker at most, in two halves: when the newer is full, the older is forgotten. Results are the same.
 REMEMBERED = 250_000
 #: A space before white space or at the end of the text.
@@ -144,36 +148,28 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
 
 
-@lru_cache(maxsize=2)
-def vocabulary_encoder(vocabulary: str, ranks: str, pattern: str) -> PartEncoder:
-    """By the tokenizers file `vocabulary`, of which `ranks` lists the same tokens as ranks.
-
-    Parts in Latin script go through the rank file, which gives the same ids several times faster;
-    all others through the tokenizers library."""
-    import tiktoken
-
-    fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=read_ranks(ranks), special_tokens={})
-    slow: list = []
+def token_sizes(ranks: dict[bytes, int]) -> np.ndarray:
+    """The number of bytes of every token, by rank."""
+    sizes = np.zeros(max(ranks.values()) + 1, np.int64)
+    sizes[list(ranks.values())] = [len(t) for t in ranks]
+    return sizes
 
-    def encode(text: str) -> list[int]:
-        if text.isascii() or max(text) < "ɐ":
-            return fast.encode_ordinary(text)
-        if not slow:
-            os.environ["TOKENIZERS_PARALLELISM"] = "false"
-            from tokenizers import Tokenizer
 
-            slow.append(Tokenizer.from_file(vocabulary))
-            slow[0].encode_special_tokens = True
-        return slow[0].encode(text, add_special_tokens=False).ids
-
-    return PartEncoder(lambda parts: [encode(p) for p in parts])
-
-
-def public_encoder() -> PartEncoder:
-    """The 50k byte-level vocabulary of the public tokenizers; strings of added tokens are text like other."""
-    import public_tokenizers as public
-
-    return vocabulary_encoder(public.path("byte_bpe_50k.json"), public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
+def encode_together(parts: list[str], fast: tiktoken.Encoding, sizes: np.ndarray, other: Callable[[str], list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Flat ids and the number of ids of parts that begin with a space before a character that is not
+    white space. Those in Latin script go through `fast`, whose tokens have so many bytes, one after
+    the other as one text: a match begins with each of them."""
+    latin = np.fromiter((p.isascii() or max(p) < "ɐ" for p in parts), bool, len(parts))
+    together = "".join(p for p, own in zip(parts, latin.tolist(), strict=True) if own)
+    others = [other(parts[i]) for i in np.flatnonzero(~latin).tolist()]
+    coded = np.array(fast.encode_ordinary(together), np.uint32)
+    ends = np.cumsum(np.asarray(pc.binary_length(pa.array(parts, pa.string())), np.int64)[latin])
+    lengths = np.zeros(len(parts), np.int64)
+    lengths[latin] = np.diff(np.searchsorted(np.cumsum(sizes[coded]), ends) + 1, prepend=0)
+    lengths[~latin] = [len(o) for o in others]
+    ids, own = np.empty(int(lengths.sum()), np.uint32), np.repeat(latin, lengths)
+    ids[own], ids[~own] = coded, list(chain.from_iterable(others))
+    return ids, lengths
 
 
 @lru_cache(maxsize=2)
@@ -187,8 +183,7 @@ def library_encoder(vocabulary: str, ranks: str, pattern: str) -> FlatEncoder:
 
     tokens = read_ranks(ranks)
     fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=tokens, special_tokens={})
-    sizes = np.zeros(max(tokens.values()) + 1, np.int64)
-    sizes[list(tokens.values())] = [len(t) for t in tokens]
+    sizes = token_sizes(tokens)
     slow = Tokenizer.from_file(vocabulary)
     added = [token.content for token in slow.get_added_tokens_decoder().values()]
 
@@ -197,21 +192,10 @@ def library_encoder(vocabulary: str, ranks: str, pattern: str) -> FlatEncoder:
             return fast.encode_ordinary(text)
         return slow.encode(text, add_special_tokens=False).ids
 
-    def encode_parts(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Those in Latin script one after the other as one text: a match begins with each of them."""
-        latin = np.fromiter((p.isascii() or max(p) < "ɐ" for p in parts), bool, len(parts))
-        together = "".join(p for p, own in zip(parts, latin.tolist(), strict=True) if own)
-        others = [slow.encode(parts[i], add_special_tokens=False).ids for i in np.flatnonzero(~latin).tolist()]
-        coded = np.array(fast.encode_ordinary(together), np.uint32)
-        ends = np.cumsum(np.asarray(pc.binary_length(pa.array(parts, pa.string())), np.int64)[latin])
-        lengths = np.zeros(len(parts), np.int64)
-        lengths[latin] = np.diff(np.searchsorted(np.cumsum(sizes[coded]), ends) + 1, prepend=0)
-        lengths[~latin] = [len(o) for o in others]
-        ids, own = np.empty(int(lengths.sum()), np.uint32), np.repeat(latin, lengths)
-        ids[own], ids[~own] = coded, list(chain.from_iterable(others))
-        return ids, lengths
-
-    return FlatEncoder(lambda strings: [encode(s) for s in strings], added, encode_parts=encode_parts)
+    def other(text: str) -> list[int]:
+        return slow.encode(text, add_special_tokens=False).ids
+
+    return FlatEncoder(lambda strings: [encode(s) for s in strings], added, encode_parts=lambda parts: encode_together(parts, fast, sizes, other))
 
 
 def public_library_encoder() -> FlatEncoder:

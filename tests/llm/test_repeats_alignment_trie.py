@@ -245,3 +245,29 @@ def test_turn_digest_names_the_turn(spark):
     entry = table.select(prefixtrie.turn_entry(F.col("role"), F.col("text")).alias("e")).first().e
     node = prefixtrie.prefix_trie(table).where("depth = 1").first()
     assert entry[:32] == node.turn_digest and int(entry[32:], 16) == 3
+
+
+def test_texts_are_cut_once_for_both_sides(monkeypatch):
+    """Ids are those of the libraries, whole texts at a time; one memory of parts serves both sides."""
+    import public_tokenizers as public
+    import pyarrow as pa
+    from sentencepiece import SentencePieceProcessor
+    from tokenizers import Tokenizer
+
+    from skerry.llm import tokens
+
+    cuts, split = [], tokens.pc.split_pattern
+    monkeypatch.setattr(tokens.pc, "split_pattern", lambda *given: cuts.append(given) or split(*given))
+    library = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    library.encode_special_tokens = True
+    pieces = SentencePieceProcessor(model_file=public.path("piece_bpe_32k.model"))
+    texts = ["one two one", "", "Ünder Größe naïve", "два слова, 漢字 kana", "a <|endoftext|> b", " leading  double\n line ", "tab\there 12345", None]
+    a, b = alignment.public_sides.__wrapped__()
+    for some in (texts, texts[::-1]):
+        given = pa.array([t or "" for t in some])
+        (ids_a, n_a), (ids_b, n_b) = a.ids(given), b.ids(given)
+        wanted_a = [library.encode(" " + (t or ""), add_special_tokens=False).ids for t in some]
+        wanted_b = [pieces.encode(t or "") for t in some]
+        assert (n_a.tolist(), n_b.tolist()) == (list(map(len, wanted_a)), list(map(len, wanted_b)))
+        assert (ids_a.tolist(), ids_b.tolist()) == (sum(wanted_a, []), sum(wanted_b, []))
+    assert len(cuts) == 2
