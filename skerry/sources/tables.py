@@ -76,8 +76,9 @@ def read_observation_export(
         (F.col("_closed") & known).alias("_known"))
     body = skew_safe_join(lines, facts, ["source_file", "block"]).where(
         F.col("_known") & (F.struct("block", "line") != F.col("_header")))
+    # Lines are sorted with their file, so from here on it is the number of its header line, not a long path.
     records = whole_records(body.select(
-        "source_file", "block", "line", decoded(F.col("value")).alias("value"), "inside", "_places"))
+        F.col("_header.line").alias("source_file"), "block", "line", decoded(F.col("value")).alias("value"), "inside", "_places"))
     return parse_records(records, schema, key)
 
 

@@ -321,3 +321,18 @@ def test_reports_of_one_name_stay_apart(spark, tmp_path):
     found = spark.read.text(out).select("report", "route", F.split("folder", "-")[0], "value")
     assert sorted(map(tuple, found.collect())) == [
         ("report", "meta_header", year, f"Qheader {year}") for year in ("2020", "2021")]
+
+
+def test_lines_of_exports_are_sorted_without_their_paths(spark, tmp_path, monkeypatch):
+    """Files of one name in different folders, with records over line ends, stay apart."""
+    from skerry.sources import tables
+
+    for folder, first in (("a" * 100, 1), ("b" * 100, 5)):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "x.tsv").write_text("\n\nOccurrenceId\tLocality\n" + "".join(
+            f'{first + i}\t"place\n{first + i}"\n' for i in range(4)))
+    handed, join = [], tables.whole_records
+    monkeypatch.setattr(tables, "whole_records", lambda lines: handed.append(lines) or join(lines))
+    found = read_observation_export(spark, f"{tmp_path}/*/x.tsv").select("OccurrenceId", "Locality").collect()
+    assert sorted(tuple(r) for r in found) == [(str(i), f"place\n{i}") for i in range(1, 9)]
+    assert handed[0].schema["source_file"].dataType.simpleString() == "bigint"
