@@ -30,15 +30,37 @@ def split_quoted(value: Column, separator: str) -> Column:
 
     Only records with a quote pay for the pattern. Its loops never give back what they matched, so
     a long field does not deepen the stack; the separator put in front makes no match empty."""
-    sign = "\\" + separator if separator in "|.^$*+?()[]{}" else separator
-    field = f'{sign}("(?:[^"]++|"")*+"(?={sign}|\\z)|[^{sign}]*+)'
+    sign, field = _patterns(separator)
     found = F.regexp_extract_all(F.concat(F.lit(separator), value), F.lit(field), 1)
+    return F.when(value.contains('"'), F.transform(found, unquoted)).otherwise(F.split(value, sign))
+
+
+def cut_quoted(value: Column, separator: str) -> Column:
+    """The fields of :func:`split_quoted` as they are written, to be freed by :func:`unquoted`. Cheaper
+    where few of them are asked for: there is no function over the array, which Spark would not compile.
+
+    Fields before the first quote are split as they are; only those from the field with it on pay for
+    the pattern. That part is cut by bytes, as a line need not be valid UTF-8."""
+    sign, field = _patterns(separator)
+    before = F.substring_index(value, '"', 1)
+    separators = F.octet_length(before) - F.octet_length(F.replace(before, F.lit(separator), F.lit("")))
+    plain = F.slice(F.split(before, sign), F.lit(1), (separators / len(separator.encode())).cast("int"))
+    rest = F.substr(value.cast("binary"), F.octet_length(before) + 1).cast("string")
+    tail = F.concat(F.lit(separator), F.substring_index(before, separator, -1), rest)
+    found = F.regexp_extract_all(tail, F.lit(field), 1)
+    return F.when(value.contains('"'), F.concat(plain, found)).otherwise(F.split(value, sign))
 
-    def bare(cell: Column) -> Column:
-        inner = F.replace(F.substring(cell, F.lit(2), F.length(cell) - 2), F.lit('""'), F.lit('"'))
-        return F.when(cell.startswith('"') & cell.endswith('"') & (F.length(cell) > 1), inner).otherwise(cell)
 
-    return F.when(value.contains('"'), F.transform(found, bare)).otherwise(F.split(value, sign))
+def unquoted(cell: Column) -> Column:
+    """What a field says: without the quotes around it, doubled ones single."""
+    inner = F.replace(F.substring(cell, F.lit(2), F.length(cell) - 2), F.lit('""'), F.lit('"'))
+    return F.when(cell.startswith('"') & cell.endswith('"') & (F.length(cell) > 1), inner).otherwise(cell)
+
+
+def _patterns(separator: str) -> tuple[str, str]:
+    """The separator, and a separator with the field after it, as patterns."""
+    sign = "\\" + separator if separator in "|.^$*+?()[]{}" else separator
+    return sign, f'{sign}("(?:[^"]++|"")*+"(?={sign}|\\z)|[^{sign}]*+)'
 
 
 def placed_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:

@@ -1,6 +1,7 @@
 """Text fixtures through the readers, and table changes through the writers."""
 
 import datetime as dt
+import itertools
 import json
 import random
 import uuid
@@ -16,7 +17,7 @@ from skerry.schemas import OBSERVATIONS, RING_RECORDS, WEATHER, add_missing, enf
 from skerry.schemas import in_both, needs_rebuild
 from skerry.sinks import tables as sinks
 from skerry.sinks.merge import replace_window, upsert
-from skerry.sources.lines import decode_lines, read_lines, split_quoted
+from skerry.sources.lines import cut_quoted, decode_lines, read_lines, split_quoted, unquoted
 from skerry.sources.reports import FIELDS, read_ring_records, split_reports
 from skerry.sources.station import read_station_export
 from skerry.sources.tables import (
@@ -147,6 +148,30 @@ def test_quoted_fields_of_any_length(spark):
     assert [r.f for r in row] == [want, ["a", "b", "", ""], [""], ["", ""], ['"'], ['"a', "b"]]
 
 
+def test_fields_cut_apart_are_those_of_the_whole_record(spark):
+    marks = [b"", b'"', b'""', b"|", b"a", b"\xe9", b"\n", "é😀".encode()]
+    values = [bytearray(b"".join(row)) for row in itertools.product(marks, repeat=4)] + [None]
+    lines = spark.createDataFrame([(v,) for v in values], "v binary").select(F.col("v").cast("string").alias("v"))
+    for separator in ("|", "\t", "é"):
+        apart = F.transform(cut_quoted(F.col("v"), separator), unquoted)
+        assert lines.where(~apart.eqNullSafe(split_quoted(F.col("v"), separator))).isEmpty()
+
+
+def test_few_fields_of_reports_are_compiled(spark, tmp_path):
+    """A function over the array of fields would take every line through uncompiled code."""
+    cells = [f"f{i}" for i in range(35)]
+    cells[0], cells[9], cells[18], cells[34] = "C", '"A|""B"', "NA", '"x|y"'
+    (tmp_path / "a.b..txt").write_text("|".join(cells) + "\n\nR|1\n")
+    split_reports(spark, f"{tmp_path}/*.txt", f"{tmp_path}/out")
+    few = read_ring_records(spark, f"{tmp_path}/out", "a.b.", ["weight", "species_code", "record_type"])
+    assert few.columns == ["source_file", "record_type", "species_code", "weight"]
+    rows = {tuple(r)[1:] for r in few.collect()}
+    assert rows == {("C", 'A|"B', None), ("R", None, None)}
+    whole = read_ring_records(spark, f"{tmp_path}/out").select("record_type", "species_code", "weight")
+    assert {tuple(r) for r in whole.collect()} == rows
+    assert "lambda" not in few._jdf.queryExecution().executedPlan().toString()
+
+
 def test_bytes_windows_1252_lacks_fall_back_to_latin_1(spark, tmp_path):
     (tmp_path / "x.txt").write_bytes(b"a\x81\xe9\nb\x80\n")
     values = [r.value for r in decode_lines(read_lines(spark, str(tmp_path / "x.txt"))).collect()]

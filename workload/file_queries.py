@@ -135,11 +135,14 @@ def _reports(t):
     raw, out = _folder(t, "reports"), _folder(t, "split-reports")
     _report_lines(t).write.partitionBy("source_file").text(raw)
     split_reports(t.spark, f"{raw}/*", out)
+    # Counted per file first: a path is searched for its year once a file and species, not once a line.
+    records = read_ring_records(t.spark, out, fields=("record_type", "species_code", "weight"))
+    per_file = records.groupBy("source_file", "record_type", "species_code").agg(
+        F.count(F.lit(1)).alias("n"), F.count("weight").alias("weighed"),
+        F.sum(F.col("weight").try_cast("double")).alias("weight"))
     year = F.regexp_extract("source_file", "y([0-9]{4})-[0-9a-f]{12}", 1)  # the year's folder with the digest of its path
-    return read_ring_records(t.spark, out).groupBy(
-        year.alias("year"), "record_type", "species_code").agg(
-            F.count(F.lit(1)).alias("n"), F.count("weight").alias("weighed"),
-            F.sum(F.col("weight").try_cast("double")).alias("weight"))
+    return per_file.groupBy(year.alias("year"), "record_type", "species_code").agg(
+        *[F.sum(c).alias(c) for c in ("n", "weighed", "weight")])
 
 
 register("report_files", "year:s record_type:s species_code:s n:i weighed:i weight:f", _reports, "captures", """
